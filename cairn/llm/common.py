@@ -103,10 +103,15 @@ class _Ids(dict):
 class ByteBpe:
     """Ids of the ``tokenizers`` library for whole texts, each distinct word encoded once for each worker.
 
-    The vocabulary's split pattern always cuts before a space that stands between two characters
-    that are not white space, so the pieces between such cuts are encoded independently of each
-    other; the ids of a text are those of its pieces in order.  Special strings hold no space and
-    stay inside a piece.  The memory of the cache is bounded by ``limit`` words.
+    The vocabulary's split pattern always cuts before a space, and around a line break, that stands
+    between two characters that are not white space; so the words between such cuts are encoded
+    independently of each other, and the ids of a text are those of its words in order.  Special
+    strings hold no white space and stay inside a word.  New words go to the library many at a time,
+    a line each; what has white space inside goes alone.
+
+    Keys: ``foo`` is the word after a space, ``\\nfoo`` the word after a line break, and a text that
+    starts with a space is encoded as it stands after that space.  The cache holds about ``limit``
+    words; beyond that, those seen once go.
     """
 
     _near = re.compile(r"\s\s")
@@ -118,56 +123,93 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self._reset()
-
-    def _reset(self) -> None:
+        specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._odd = re.compile("|".join([r"[^\S \n]", *specials]))
+        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.memo, self.n, self.used = _Ids(), 0, 0
-        self.flat, self.size, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.size, self.first, self.hits = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
+    def _evict(self) -> None:
+        keep = np.flatnonzero(self.hits[: self.n] > 1)
+        keys, memo = list(self.memo), _Ids()
+        memo.update({keys[i]: j for j, i in enumerate(keep.tolist())})
+        sizes = self.size[keep]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        self.flat[:total] = self.flat[np.repeat(self.first[keep] - (ends - sizes), sizes) + np.arange(total)]
+        self.size[: len(keep)], self.first[: len(keep)], self.hits[: len(keep)] = sizes, ends - sizes, 1
+        self.memo, self.n, self.used = memo, len(keep), total
+
+    def _put(self, places: list[int], ids: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep ``ids``; the word at each place has ``sizes`` of them from ``first``."""
+        self.flat = self._room(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[places], self.size[places] = first + self.used, sizes
+        self.used += len(ids)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
     def _encode_new(self) -> None:
-        words, self.memo.new = self.memo.new, []
-        for i in range(0, len(words), 4096):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(sizes.sum())
-            self.flat, self.size, self.first = self._room(self.flat, self.used + total), self._room(self.size, self.n + len(ids)), self._room(self.first, self.n + len(ids))
-            self.flat[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), np.uint32, total)
-            self.size[self.n : self.n + len(ids)] = sizes
-            self.first[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.n, self.used = self.n + len(ids), self.used + total
+        keys, self.memo.new = self.memo.new, []
+        self.size, self.first, self.hits = (self._room(a, self.n + len(keys)) for a in (self.size, self.first, self.hits))
+        self.hits[self.n : self.n + len(keys)] = 0
+        for i in range(0, len(keys), 8192):
+            spaced, broken, alone = [], [], []
+            for j, key in enumerate(keys[i : i + 8192], i):
+                (alone if key[0] == " " else broken if key[0] == "\n" else spaced).append(j)
+            for group, lead in ((spaced, " "), (broken, "")):
+                words = [lead + keys[j] for j in group] if lead else [keys[j][1:] for j in group]
+                text = "\n".join(words)
+                if self._odd.search(text) or "" in words:
+                    odd = [not w or bool(self._odd.search(w)) for w in words]
+                    alone += [j for j, x in zip(group, odd, strict=True) if x]
+                    group, words = [j for j, x in zip(group, odd, strict=True) if not x], [w for w, x in zip(words, odd, strict=True) if not x]
+                    text = "\n".join(words)
+                if group:
+                    ids = self._ids("\n" + text)  # every word after a line break
+                    at = np.flatnonzero(ids == self.line_break)
+                    if len(at) != len(group):
+                        raise ValueError("a word was not encoded on its own line")
+                    first = at if group is broken or not lead else at + 1
+                    self._put([self.n + j for j in group], ids, first, np.diff(np.concatenate([at, [len(ids)]])) - (first - at))
+            if alone:
+                words = [keys[j][1:] if keys[j][0] == " " else keys[j] if keys[j][0] == "\n" else " " + keys[j] for j in alone]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                self._put([self.n + j for j in alone], np.array([x for one in ids for x in one], np.uint32), np.cumsum(sizes) - sizes, sizes)
+        self.n += len(keys)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
         if len(self.memo) > self.limit:
-            self._reset()
+            self._evict()
         got, counts = [], []
         for text in texts:
             if not text:
                 counts.append(0)
                 continue
-            if self._near.search(text) or text[0].isspace():
-                words = self._cut.split(text)
+            if self._near.search(text) or text[0].isspace() or text[-1].isspace():
+                words = [" " + w for w in self._cut.split(text)]
             else:
-                words = text.split(" ")
-                words[1:] = [" " + w for w in words[1:]]
-                if words[-1] == " ":  # a text's last space has no word
-                    words[-2:] = [words[-2] + " "]
+                words = text.replace("\n", " \n").split(" ")
+                words[0] = " " + words[0]
             got.append(np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)))
             counts.append(len(words))
         self._encode_new()
         if not got:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         at = np.concatenate(got)
+        self.hits[: self.n] += np.bincount(at, minlength=self.n).astype(np.int32)
         sizes = self.size[at]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        totals = np.concatenate([[0], ends])[bounds]
-        return ids, np.diff(totals)
+        return ids, np.diff(np.concatenate([[0], ends])[bounds])
 
 
 _encoders: dict[str, ByteBpe] = {}
