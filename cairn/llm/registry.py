@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dups import op8_near_duplicates
 from .packing import op2_best_fit_packing
 from .secrets import op5_secret_scans
 from .token_counts import op4_token_counts
 from .token_files import op7_token_files
 from .topk import op6_exact_top_k
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_best_fit_packing, op4_token_counts, op5_secret_scans, op6_exact_top_k, op7_token_files]
+    found = [op2_best_fit_packing, op4_token_counts, op5_secret_scans, op6_exact_top_k, op7_token_files, op8_near_duplicates, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
