@@ -117,7 +117,7 @@ class ByteBpe:
     _near = re.compile(r"\s\s")
     _cut = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 900_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer

@@ -9,9 +9,9 @@
    is paired with the bucket's hub, the member with the largest buckets in all.  Candidates are
    verified by the weighted Jaccard similarity of their whole shingle sets, and classes are the
    connected components of verified links.
-4. What a large bucket's hub did not link is paired with a new hub, and what is then still apart
-   with every member of the bucket outside its class: no candidate of a bucket goes unverified
-   unless both sides are in one class already.
+4. Members of a large bucket outside its hub's class are compared with all of the bucket, block
+   against block, as products of incidence matrices; only links between classes leave a block.  So
+   no two members of a bucket go uncompared unless they are in one class already.
 
 Weights are tf * (1 + strength * relative idf).  A plain idf falls to almost nothing for shingles of
 a large group of copies, whose few differing shingles would then outweigh all they share, and
@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _Ids, named, slices, stage, table, unstage, words_of
+from .common import named, slices, stage, table, unstage
 
 FEATURES, RANGE = 1 << 18, 1 << 12
 WORDS = 5
+NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 _mixer = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,25 +43,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_word_byte = np.zeros(256, bool)
+_word_byte[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
+_powers = np.cumprod(np.full(1 << 16, 0x100000001B3, np.uint64), dtype=np.uint64)
+
+
 class Shingler:
-    """Hashes of the word shingles of texts; words are hashed once for each worker."""
+    """Hashes of the word shingles of texts.
+
+    Words are runs of ASCII letters, digits, underscores and any other characters beyond ASCII, in
+    lower case; they are found and hashed as bytes, whole slices of texts at a time.
+    """
 
-    def __init__(self, words: int = WORDS, limit: int = 800_000) -> None:
-        self.words, self.limit = words, limit
-        self.memo, self.hash = _Ids(), np.zeros(0, np.uint64)
+    def __init__(self, words: int = WORDS) -> None:
+        self.words = words
 
     def word_hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' hashes one after another, and each text's number of words."""
-        if len(self.memo) > self.limit:
-            self.memo, self.hash = _Ids(), self.hash[:0]
-        got = []
-        for text in texts:
-            words = words_of(text)
-            got.append(np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)))
-        if self.memo.new:
-            self.hash = np.concatenate([self.hash, pd.util.hash_array(np.array(self.memo.new, dtype=object), categorize=False)])
-            self.memo.new = []
-        return self.hash[np.concatenate([*got, np.zeros(0, np.int64)])], np.fromiter(map(len, got), np.int64, len(got))
+        raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\0".join([*raw, b""]), np.uint8)
+        inside = _word_byte[data]
+        edge = np.diff(inside.view(np.int8), prepend=0)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        text_ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+        counts = np.diff(np.searchsorted(starts, text_ends), prepend=0)
+        if not len(starts):
+            return np.zeros(0, np.uint64), counts
+        sizes = ends - starts
+        letters = data[inside].astype(np.uint64) + np.uint64(1)
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(len(letters)) - np.repeat(first, sizes)
+        letters *= _powers[place & 0xFFFF]
+        return mix(np.add.reduceat(letters, first) * _mixer + sizes.astype(np.uint64)), counts
 
     def shingles(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Each text's distinct shingle hashes, ascending, and their frequencies."""
@@ -201,6 +215,67 @@ def _similar(words: int, threshold: float, shared):
     return verify
 
 
+def _elements(words: int):
+    """(node, text) to (node, elements): the shingle hashes, ascending, each as often as it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch, texts in slices(batches, rows=256, chars=1_000_000):
+            data = [np.repeat(h, n).astype("<u8").tobytes() for h, n in shingler.shingles(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["node", "elements"])
+
+    return run
+
+
+def _occurrences(data: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of (shingle, occurrence) with set numbers and weights, and each set's whole weight; sums of weights of common keys are those of minima."""
+    sets = [np.frombuffer(d, "<u8") for d in data]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    h, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64), np.repeat(np.arange(len(sets)), sizes)
+    w = weight[(h >> np.uint64(46)).astype(np.int64)].astype(np.float64)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return mix(h + nth.astype(np.uint64) * _mixer), owner, w, np.bincount(owner, w, len(sets))
+
+
+def similarity_matrix(one: list[bytes], other: list[bytes], weight: np.ndarray, columns: int = 8192) -> np.ndarray:
+    """Weighted Jaccard similarity of every set of ``one`` with every set of ``other``: products of incidence matrices, some columns at a time."""
+    (ka, oa, wa, ta), (kb, ob, _, tb) = _occurrences(one, weight), _occurrences(other, weight)
+    common = np.intersect1d(ka, kb)
+    both = np.zeros((len(one), len(other)))
+    ia, ib = np.searchsorted(common, ka), np.searchsorted(common, kb)
+    for i in range(0, len(common), columns):
+        n = min(columns, len(common) - i)
+        m = []
+        for k, at, o, v, rows in ((ka, ia, oa, wa, len(one)), (kb, ib, ob, None, len(other))):
+            part = np.flatnonzero((at >= i) & (at < i + n))
+            part = part[common[at[part]] == k[part]]
+            x = np.zeros((rows, n))
+            x[o[part], at[part] - i] = 1 if v is None else v[part]
+            m.append(x)
+        both += m[0] @ m[1].T
+    union = ta[:, None] + tb[None, :] - both
+    return np.where(both > 0, both / np.maximum(union, 1e-30), 0)
+
+
+def _blocks(threshold: float, shared):
+    """Cogrouped blocks of (node, label, elements) to links, one for each left node and class on the right."""
+
+    def link(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            similar = similarity_matrix(left["elements"].tolist(), right["elements"].tolist(), shared.value) >= threshold - 1e-9
+            for i, j in zip(*np.nonzero(similar), strict=True):
+                out.append((left["node"].iat[i], right["node"].iat[j], left["label"].iat[i], right["label"].iat[j]))
+        found = pd.DataFrame(out, columns=["a", "b", "la", "lb"])
+        found = found[found["la"] != found["lb"]].drop_duplicates(["a", "lb"])
+        return found[["a", "b"]]
+
+    return link
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): the component's least node.  Large-star and small-star rounds until nothing changes."""
     edges = stage(edges.select("a", "b").filter("a <> b").distinct(), "edges")
@@ -245,45 +320,41 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = WORDS,
     x, y = few.select("key", F.col("node").alias("x")), few.select("key", F.col("node").alias("y"))
     pairs = x.join(y, "key").filter("x < y").select(*ordered(F.col("x"), F.col("y")))
     star = lambda m: m.join(hub_of(m), "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    checked = None
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, text) of the wanted nodes, each from one row of the class's least doc_id."""
+        reps = nodes.select("node", F.col("rep").alias("doc_id")).join(wanted.distinct(), "node", "left_semi")
+        keyed = with_node.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+        return keyed.join(reps.select("node", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")), ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
     def verified(found: DataFrame) -> DataFrame:
-        """Those of the found pairs that are similar; a pair found in an earlier round is not checked again."""
-        nonlocal checked
-        found = found.distinct()
-        if checked is not None:
-            found = found.join(checked, ["a", "b"], "left_anti")
-        found = stage(found, "pairs")
-        checked = found if checked is None else checked.union(found)
-        wanted = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
-        texts = stage(with_node.join(wanted.filter("doc_id is not null"), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
+        """Those of the found pairs that are similar."""
+        found = stage(found.distinct(), "pairs")
+        texts = stage(texts_of(found.select(F.explode(F.array("a", "b")).alias("node"))), "texts")
         both = found.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
         links = stage(both.mapInArrow(_similar(words, threshold, shared), "a binary, b binary"), "links")
-        unstage(texts)
+        unstage(texts, found)
         return links
 
     links = verified(pairs.union(star(many)))
     labels = stage(components(links), "labels")
     labelled = lambda m: m.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def left_apart() -> DataFrame:
-        """Members of large buckets outside the class of the bucket's hub."""
-        m = labelled(many)
-        home = m.groupBy("key").agg(F.max_by("label", F.struct("pop", "node")).alias("home"))
-        return m.join(home, "key").filter("label <> home").drop("home", "label")
-
-    for last in (False, True):
-        apart = stage(left_apart(), "apart")
-        if not apart.take(1):
-            break
-        if last:
-            one, other = labelled(apart).select("key", F.col("node").alias("x"), F.col("label").alias("lx")), labelled(many.join(apart.select("key").distinct(), "key", "left_semi")).select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
-            more = one.join(other, "key").filter("lx <> ly").select(*ordered(F.col("x"), F.col("y")))
-        else:
-            more = star(apart)
-        links = links.union(verified(more))
-        labels = stage(components(links), "labels")
+    # Members of large buckets outside the class of the bucket's hub meet all of the bucket, in blocks.
+    m = labelled(many)
+    home = m.groupBy("key").agg(F.max_by("label", F.struct("pop", "node")).alias("home"), F.count("*").alias("n"))
+    apart = stage(m.join(home, "key").filter("label <> home").select("key", "node", "label", "n"), "apart")
+    if apart.take(1):
+        counts = apart.groupBy("key").agg(F.ceil(F.count("*") / 256).alias("n_left"), F.ceil(F.max("n") / 512).alias("n_right"))
+        members = m.join(counts, "key").select("key", "node", "label", "n_left", "n_right")
+        lone = apart.join(counts, "key").select("key", "node", "label", "n_left", "n_right")
+        elements = stage(texts_of(members.select("node")).mapInArrow(_elements(words), "node binary, elements binary"), "elements")
+        deal = lambda x, own, other, n_own, n_other: x.withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))).join(elements, "node").select("key", "i", "j", "node", "label", "elements")
+        left, right = deal(lone, "i", "j", "n_left", "n_right"), deal(members, "j", "i", "n_right", "n_left")
+        more = stage(left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(_blocks(threshold, shared), "a binary, b binary"), "links")
+        unstage(elements)
+        labels = stage(components(links.union(more)), "labels")
 
     node_label = labelled(nodes.select("node", "rep", "n"))
     classes = node_label.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_class"))

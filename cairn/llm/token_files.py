@@ -113,7 +113,7 @@ def encode_documents(docs: DataFrame, end_id: int | None = 2, tokenizer: str | N
                 held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "before", "n_tokens", "data"])
 
-        for batch, texts in slices(batches, rows=256, chars=1_000_000):
+        for batch, texts in slices(batches, rows=1024):
             ids, sizes = with_end(*encoder.encode(texts), end_id)
             docs_held += batch.column(0).to_pylist()
             sizes_held.append(sizes)
