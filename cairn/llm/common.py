@@ -70,6 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, renamed; whatever else the table holds can't clash with an operator's own names."""
+    ship(df.sparkSession)
     return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()])
 
 

@@ -127,7 +127,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def weights(docs: DataFrame, words: int = WORDS, strength: float = 0.25) -> np.ndarray:
     """The weight of each hashed shingle, from the document frequencies of all rows of ``docs`` (text)."""
-    rows = docs.select("text").mapInArrow(_frequencies(words), "part int, counts binary").repartition("part").mapInArrow(_added, "part int, counts binary").collect()  # FEATURES / RANGE rows
+    rows = named(docs, text="text").mapInArrow(_frequencies(words), "part int, counts binary").repartition("part").mapInArrow(_added, "part int, counts binary").collect()  # FEATURES / RANGE rows
     df, n = np.zeros(FEATURES, np.int64), 0
     for part, counts in rows:
         values = np.frombuffer(counts, "<i8")
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = WORDS,
         members = m.join(counts, "key").select("key", "node", "label", "n_left", "n_right")
         lone = apart.join(counts, "key").select("key", "node", "label", "n_left", "n_right")
         elements = stage(texts_of(members.select("node")).mapInArrow(_elements(words), "node binary, elements binary"), "elements")
-        deal = lambda x, own, other, n_own, n_other: x.withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))).join(elements, "node").select("key", "i", "j", "node", "label", "elements")
+        deal = lambda x, own, other, n_own, n_other: x.withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))).join(elements, "node").select(*[F.col(c).alias(c) for c in ("key", "i", "j", "node", "label", "elements")])
         left, right = deal(lone, "i", "j", "n_left", "n_right"), deal(members, "j", "i", "n_right", "n_left")
         more = stage(left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(_blocks(threshold, shared), "a binary, b binary"), "links")
         unstage(elements)
