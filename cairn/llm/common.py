@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import tempfile
@@ -118,7 +119,7 @@ class ByteBpe:
     _near = re.compile(r"\s\s")
     _cut = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str, limit: int = 900_000) -> None:
+    def __init__(self, path: str, limit: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
@@ -216,6 +217,13 @@ class ByteBpe:
 _encoders: dict[str, ByteBpe] = {}
 
 
+def release() -> None:
+    """Free this worker's encoders: a task of another kind has its own use for the memory."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+
+
 def byte_bpe(path: str | None) -> ByteBpe:
     """This worker's encoder; it lives as long as the worker, so later tasks find their words known."""
     if path is None:

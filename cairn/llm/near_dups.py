@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import named, slices, stage, table, unstage
+from .common import named, release, slices, stage, table, unstage
 
 FEATURES, RANGE = 1 << 18, 1 << 12
 WORDS = 5
@@ -56,6 +56,7 @@ class Shingler:
     """
 
     def __init__(self, words: int = WORDS) -> None:
+        release()
         self.words = words
 
     def word_hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +241,7 @@ def _occurrences(data: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.
     return mix(h + nth.astype(np.uint64) * _mixer), owner, w, np.bincount(owner, w, len(sets))
 
 
-def similarity_matrix(one: list[bytes], other: list[bytes], weight: np.ndarray, columns: int = 8192) -> np.ndarray:
+def similarity_matrix(one: list[bytes], other: list[bytes], weight: np.ndarray, columns: int = 2048) -> np.ndarray:
     """Weighted Jaccard similarity of every set of ``one`` with every set of ``other``: products of incidence matrices, some columns at a time."""
     (ka, oa, wa, ta), (kb, ob, _, tb) = _occurrences(one, weight), _occurrences(other, weight)
     common = np.intersect1d(ka, kb)
@@ -252,7 +253,7 @@ def similarity_matrix(one: list[bytes], other: list[bytes], weight: np.ndarray,
         for k, at, o, v, rows in ((ka, ia, oa, wa, len(one)), (kb, ib, ob, None, len(other))):
             part = np.flatnonzero((at >= i) & (at < i + n))
             part = part[common[at[part]] == k[part]]
-            x = np.zeros((rows, n))
+            x = np.zeros((rows, n), np.float64)
             x[o[part], at[part] - i] = 1 if v is None else v[part]
             m.append(x)
         both += m[0] @ m[1].T

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _Ids, named, slices, table, words_of
+from .common import _Ids, named, release, slices, table, words_of
 
 T, STRIDE = 32, 16
 TABLE, EMBED, DIM, HIDDEN = 1 << 18, 1 << 12, 4, 8
@@ -318,6 +318,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size, about 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words = Words(shared.value)
         for batch, texts in slices(batches, rows=1024, chars=2_000_000):
             scores = score_texts(texts, words)
