@@ -5,18 +5,187 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import dedup
-from ..sources.corpus import documents_as_files, table
+from .. import ship
+from ..functions import fmt, paths
+from ..operators import catalog, codecs, dedup, layout, report
+from ..sources.corpus import documents_as_files, pages_as_files, table
+from ..streaming import frames as frame_stream
+from . import archive
 
+FRAME, VOLUME = 65_536, 524_288
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_as_files(table(spark, sf_dir, "documents"))
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    ship(s)
+    return documents_as_files(table(s, d, "documents"))
+
+
+def _catalog(s: SparkSession, d: str) -> DataFrame:
+    return dedup.find_duplicates(_files(s, d))
+
+
+def _offsets(s: SparkSession, d: str) -> DataFrame:
+    return layout.file_offsets(_catalog(s, d))
+
+
+def _frames(s: SparkSession, d: str) -> DataFrame:
+    """Frames with a stand-in for what a codec would give: size and mode follow from the frame number."""
+    f = layout.frames(_offsets(s, d), FRAME)
+    size = F.col("original_size") - F.pmod(F.col("frame_id") * 7919, F.lit(40_000))
+    raw = (F.pmod("frame_id", F.lit(5)) == 0) | (size <= 0)
+    return f.withColumn("mode", F.when(raw, "raw").otherwise("lz_ext3_cpu")).withColumn("size", F.when(raw, F.col("original_size")).otherwise(size))
+
+
+def _volumes(s: SparkSession, d: str) -> DataFrame:
+    f = _frames(s, d)
+    return f.join(layout.next_fit(f, VOLUME).drop("size"), "frame_id")
+
+
+def _sample(s: SparkSession, d: str) -> DataFrame:
+    """Paths as they come: slashes of both kinds, anchors and doubled separators."""
+    return table(s, d, "documents").select("doc_id", F.concat(F.lit("C:\\data\\"), F.col("source"), F.lit("\\"), F.col("lang"), F.lit("//"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("p"))
+
+
+def _attrs(s: SparkSession, d: str) -> DataFrame:
+    """Columns that the documents lack, derived from their ids."""
+    k = F.col("doc_id")
+    return table(s, d, "documents").select("doc_id", (k * 37 % 4096).cast("int").alias("attrs"), (k * 86_399.0 + 1.5e9).alias("mtime"), (k % 3 == 0).alias("flag"), F.when(k % 7 != 0, k * k * 4099).alias("size"), F.concat("source", F.lit("-"), "lang").alias("sddl"))
+
+
+def _sddl_files(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents")
+    return documents_as_files(docs).select("path_rel", "size").withColumn("sddl", F.substring_index(F.substring_index("path_rel", "/", 2), "/", -1))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+_CTE = """
+files AS (SELECT source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.txt' AS path_rel, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, coalesce(text, '') AS text FROM documents),
+cat AS (
+  SELECT path_rel, size, size > 0 AND r > 1 AS is_duplicate, CASE WHEN size > 0 AND r > 1 THEN orig END AS original_path
+  FROM (SELECT path_rel, size, row_number() OVER w AS r, first_value(path_rel) OVER w AS orig FROM files WINDOW w AS (PARTITION BY size, md5(text) ORDER BY lower(path_rel), path_rel))),
+offs AS (SELECT path_rel, size, CAST(coalesce(sum(size) OVER (ORDER BY lower(path_rel), path_rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM cat WHERE NOT is_duplicate),
+tot AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total FROM offs),
+fr0 AS (SELECT frame_id, frame_id * 65536 AS frame_start, least(frame_id * 65536 + 65536, total) AS frame_end FROM tot, unnest(range(0, (total + 65535) // 65536)) AS u(frame_id)),
+fr AS (
+  SELECT *, CASE WHEN raw THEN 'raw' ELSE 'lz_ext3_cpu' END AS mode, CASE WHEN raw THEN original_size ELSE original_size - frame_id * 7919 % 40000 END AS size
+  FROM (SELECT *, frame_end - frame_start AS original_size, frame_id % 5 = 0 OR frame_end - frame_start - frame_id * 7919 % 40000 <= 0 AS raw FROM fr0)),
+fold(frame_id, size, volume_no, volume_offset, used) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT fr.frame_id, fr.size, CASE WHEN used > 0 AND used + fr.size > 524288 THEN volume_no + 1 ELSE volume_no END,
+    CASE WHEN used > 0 AND used + fr.size > 524288 THEN 0 ELSE used END, CASE WHEN used > 0 AND used + fr.size > 524288 THEN fr.size ELSE used + fr.size END
+  FROM fold JOIN fr ON fr.frame_id = fold.frame_id + 1),
+vol AS (
+  SELECT frame_id, size, volume_no, volume_offset FROM fold WHERE frame_id >= 0),
+fv AS (SELECT fr.*, vol.volume_no, vol.volume_offset FROM fr JOIN vol USING (frame_id)),
+sl AS (
+  SELECT path_rel, frame_id, greatest(start, frame_start) - start AS in_file, greatest(start, frame_start) - frame_start AS in_frame, least(start + size, frame_end) - greatest(start, frame_start) AS length
+  FROM offs JOIN fr0 ON frame_end > start AND frame_start < start + size WHERE size > 0),
+attr AS (SELECT doc_id, CAST(doc_id * 37 % 4096 AS INT) AS attrs, doc_id * 86399.0::DOUBLE + 1.5e9 AS mtime, doc_id % 3 = 0 AS flag, CASE WHEN doc_id % 7 <> 0 THEN doc_id * doc_id * 4099 END AS size, source || '-' || lang AS sddl FROM documents)
+"""
+
+
+def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = f"WITH RECURSIVE {_CTE} {sql}"
+
+
+# Sources, filters and counts
+_add("S1_scan", lambda s, d: _files(s, d).select("path_rel", "size"), "SELECT path_rel, size FROM files")
+_add("S4_byte_probes", lambda s, d: dedup.probes(_files(s, d)).drop("digest"), """SELECT path_rel, size, substr(h, 1, 4) AS first2, CASE WHEN size < 2 THEN h ELSE right(h, 4) END AS last2,
+ CASE WHEN size < 8 THEN h ELSE substr(h, CAST((size // 2 - 4) * 2 + 1 AS BIGINT), 16) END AS center8 FROM (SELECT *, hex(encode(text)) AS h FROM files)""")
+_add("S5_chunk_digests", lambda s, d: dedup.chunk_digests(_files(s, d), 1 << 30).select("path_rel", "size", F.array_join("digests", ",").alias("digests")), "SELECT path_rel, size, sha256(text) AS digests FROM files")
+_add("P1_non_empty", lambda s, d: _files(s, d).filter("size > 0").select("path_rel", "size"), "SELECT path_rel, size FROM files WHERE size > 0")
+_add("P2_unique_files", lambda s, d: _catalog(s, d).filter("not is_duplicate").select("path_rel", "size"), "SELECT path_rel, size FROM cat WHERE NOT is_duplicate")
+_add("P3_framed_files", lambda s, d: _catalog(s, d).filter("not is_duplicate and size > 0").select("path_rel"), "SELECT path_rel FROM cat WHERE NOT is_duplicate AND size > 0")
+_add("P4_children", lambda s, d: catalog.with_parent(_files(s, d)).filter("parent_path = 'src1/en'").select("path_rel", "parent_path", "size"), "SELECT path_rel, 'src1/en' AS parent_path, size FROM files WHERE regexp_replace(path_rel, '/[^/]*$', '') = 'src1/en'")
+_add("P5_parent_prefix", lambda s, d: catalog.with_parent(_files(s, d)).filter(F.col("parent_path").startswith("src1/")).select("parent_path").distinct(), "SELECT DISTINCT regexp_replace(path_rel, '/[^/]*$', '') AS parent_path FROM files WHERE path_rel LIKE 'src1/%'")
+_add("P6_non_root", lambda s, d: catalog.with_parent(_files(s, d)).filter("parent_path <> ''").select("path_rel"), "SELECT path_rel FROM files WHERE path_rel LIKE '%/%'")
+_add("P10_named_originals", lambda s, d: _catalog(s, d).filter("is_duplicate and original_path is not null").select("path_rel", "original_path"), "SELECT path_rel, original_path FROM cat WHERE is_duplicate AND original_path IS NOT NULL")
+_add("P12_raw_choice", lambda s, d: _frames(s, d).select("frame_id", F.when((F.col("size") > 0) & (F.col("size") < F.col("original_size")), "lz_ext3_cpu").otherwise("raw").alias("mode")), "SELECT frame_id, CASE WHEN size > 0 AND size < original_size THEN 'lz_ext3_cpu' ELSE 'raw' END AS mode FROM fr")
+_add("P14_size_classes", lambda s, d: _files(s, d).groupBy(F.when(F.col("size") <= 4096, "small").otherwise("large").alias("class")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "SELECT CASE WHEN size <= 4096 THEN 'small' ELSE 'large' END AS class, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY 1")
+_add("P18_has_acls", lambda s, d: _attrs(s, d).select("doc_id", F.coalesce(F.length("sddl") > 0, F.lit(False)).alias("has_acls")), "SELECT doc_id, coalesce(length(sddl) > 0, false) AS has_acls FROM attr")
+_add("P19_volume_names", lambda s, d: _volumes(s, d).select(paths.volume_name("archive", F.col("volume_no")).alias("name")).distinct().filter(F.col("name").rlike(r".*\.\d{3}$")), "SELECT DISTINCT 'archive.' || lpad(CAST(volume_no AS VARCHAR), 3, '0') AS name FROM vol")
+_add("A1_total_size", lambda s, d: _files(s, d).agg(F.sum("size").alias("total")), "SELECT CAST(sum(size) AS BIGINT) AS total FROM files")
+_add("A2_size_groups", lambda s, d: _files(s, d).groupBy("size").agg(F.count("*").alias("n")).filter("n > 1"), "SELECT size, count(*) AS n FROM files GROUP BY size HAVING count(*) > 1")
+_add("A6_funnel", lambda s, d: dedup.funnel_counts(_files(s, d)), """, h AS (SELECT *, hex(encode(text)) AS x FROM files WHERE size > 0), p AS (SELECT size, substr(x, 1, 4) AS f2, CASE WHEN size < 2 THEN x ELSE right(x, 4) END AS l2, CASE WHEN size < 8 THEN x ELSE substr(x, CAST((size // 2 - 4) * 2 + 1 AS BIGINT), 16) END AS c8, md5(text) AS dg FROM h),
+n AS (SELECT count(*) OVER (PARTITION BY size) a, count(*) OVER (PARTITION BY size, f2) b, count(*) OVER (PARTITION BY size, f2, l2) c, count(*) OVER (PARTITION BY size, f2, l2, c8) d, count(*) OVER (PARTITION BY size, f2, l2, c8, dg) e FROM p),
+k AS (SELECT count(*) k0, count(*) FILTER (a > 1) k1, count(*) FILTER (b > 1) k2, count(*) FILTER (c > 1) k3, count(*) FILTER (d > 1) k4, count(*) FILTER (e > 1) k5 FROM n)
+SELECT 1 AS stage, 'size' AS name, k1 AS candidates, k0 - k1 AS removed FROM k UNION ALL SELECT 2, 'first2', k2, k1 - k2 FROM k UNION ALL SELECT 3, 'last2', k3, k2 - k3 FROM k UNION ALL SELECT 4, 'center8', k4, k3 - k4 FROM k UNION ALL SELECT 5, 'digest', k5, k4 - k5 FROM k""")
+_add("A7_A8_savings", lambda s, d: dedup.duplicate_summary(_catalog(s, d)), "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS total_bytes, count(*) FILTER (is_duplicate) AS duplicates, CAST(coalesce(sum(size) FILTER (is_duplicate), 0) AS BIGINT) AS saved_bytes, coalesce(sum(size) FILTER (is_duplicate), 0) * 100.0::DOUBLE / sum(size) AS saved_percent FROM cat")
+_add("A9_file_count", lambda s, d: _files(s, d).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM files")
+_add("A10_J3_duplicate_counts", lambda s, d: catalog.with_duplicate_counts(_catalog(s, d)).select("path_rel", "duplicate_count", "has_duplicates"), "SELECT c.path_rel, coalesce(n, 0) AS duplicate_count, coalesce(n, 0) > 0 AS has_duplicates FROM cat c LEFT JOIN (SELECT original_path, count(*) AS n FROM cat WHERE is_duplicate GROUP BY 1) o ON o.original_path = c.path_rel")
+_add("A22_dictionary", lambda s, d: catalog.dictionary(_sddl_files(s, d), "sddl"), ", f AS (SELECT split_part(path_rel, '/', 2) AS value, min({'l': lower(path_rel), 'p': path_rel}) AS m FROM files GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY m) AS INT) AS id, value FROM f")
+
+# Duplicates and joins
+_add("Q1_find_duplicates", _catalog, "SELECT * FROM cat")
+_add("W3_originals", lambda s, d: catalog.with_originals(_catalog(s, d))[0], "SELECT c.path_rel, c.original_path, o.size AS original_size FROM cat c JOIN cat o ON c.original_path = o.path_rel")
+_add("J9_missing_originals", lambda s, d: catalog.with_originals(_catalog(s, d).filter("size < 2000 or is_duplicate"))[1], ", k AS (SELECT * FROM cat WHERE size < 2000 OR is_duplicate) SELECT path_rel, original_path FROM k WHERE is_duplicate AND original_path NOT IN (SELECT path_rel FROM k WHERE NOT is_duplicate)")
+_add("J1_descriptors", lambda s, d: _sddl_files(s, d).join(F.broadcast(catalog.dictionary(_sddl_files(s, d), "sddl").withColumnRenamed("value", "sddl").withColumnRenamed("id", "sddl_id")), "sddl", "left").select("path_rel", "sddl_id", "sddl"), ", f AS (SELECT split_part(path_rel, '/', 2) AS value, min({'l': lower(path_rel), 'p': path_rel}) AS m FROM files GROUP BY 1), k AS (SELECT CAST(row_number() OVER (ORDER BY m) AS INT) AS id, value FROM f) SELECT path_rel, id AS sddl_id, value AS sddl FROM files JOIN k ON value = split_part(path_rel, '/', 2)")
+_add("J2_file_volumes", lambda s, d: layout.start_frames(_offsets(s, d), FRAME).join(_volumes(s, d).select(F.col("frame_id").alias("start_frame"), "volume_no"), "start_frame", "left").select("path_rel", "start_frame", "volume_no"), "SELECT path_rel, start // 65536 AS start_frame, volume_no FROM offs LEFT JOIN vol ON frame_id = start // 65536 WHERE offs.size > 0 UNION ALL SELECT path_rel, NULL, NULL FROM offs WHERE size = 0")
+_add("J5_first_frame", lambda s, d: layout.first_frame_after(_offsets(s, d).filter("size > 0"), _frames(s, d), FRAME).select("path_rel", "frame_id", "frame_end"), "SELECT path_rel, min(frame_id) AS frame_id, min(frame_end) AS frame_end FROM offs JOIN fr0 ON frame_end > start WHERE size > 0 GROUP BY 1")
+_add("J6_selected_files", lambda s, d: _files(s, d).join(table(s, d, "labels").select(F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("k")), F.substring_index(F.substring_index("path_rel", "/", -1), ".", 1) == F.col("k"), "left_semi").select("path_rel"), "SELECT path_rel FROM files WHERE CAST(split_part(split_part(path_rel, '/', 3), '.', 1) AS BIGINT) IN (SELECT doc_id FROM labels)")
+
+# Layout
+_add("W1_offsets", _offsets, "SELECT * FROM offs")
+_add("W2_frames", lambda s, d: layout.frames(_offsets(s, d), FRAME), "SELECT frame_id, frame_start, frame_end, frame_end - frame_start AS original_size FROM fr0")
+_add("W4_start_frames", lambda s, d: layout.start_frames(_offsets(s, d), FRAME), "SELECT path_rel, size, start, CASE WHEN size > 0 THEN start // 65536 END AS start_frame, CASE WHEN size > 0 THEN (start + size - 1) // 65536 END AS end_frame FROM offs")
+_add("J4_slices", lambda s, d: layout.slices(_offsets(s, d), FRAME), "SELECT * FROM sl")
+_add("W5_next_fit", lambda s, d: layout.next_fit(_frames(s, d), VOLUME), "SELECT * FROM vol")
+_add("W7_A16_volume_stats", lambda s, d: report.volume_stats(_volumes(s, d)), "SELECT *, CAST(sum(frames) OVER w AS BIGINT) AS frames_so_far, CAST(sum(bytes) OVER w AS BIGINT) AS bytes_so_far FROM (SELECT volume_no, mode, count(*) AS frames, CAST(sum(size) AS BIGINT) AS bytes FROM fv GROUP BY 1, 2) WINDOW w AS (PARTITION BY mode ORDER BY volume_no)")
+_add("W9_surrogate_ids", lambda s, d: catalog.surrogate_ids(_files(s, d).select("path_rel")), "SELECT path_rel, row_number() OVER (ORDER BY lower(path_rel), path_rel) AS id FROM files")
+_add("A20_Q10_needed_frames", lambda s, d: layout.needed_frames(_files(s, d).filter(F.col("path_rel").startswith("src1/")), _offsets(s, d), FRAME), "SELECT DISTINCT frame_id FROM sl WHERE path_rel LIKE 'src1/%'")
+
+# Catalog
+_add("Q2_list_dir", lambda s, d: catalog.list_dir(_catalog(s, d), "src1"), "SELECT DISTINCT split_part(path_rel, '/', 2) AS name, true AS is_folder, CAST(NULL AS BIGINT) AS size FROM cat WHERE path_rel LIKE 'src1/%'")
+_add("Q3_list_unique", lambda s, d: catalog.list_dir(_catalog(s, d), "src1/en", hide_duplicates=True), "SELECT split_part(path_rel, '/', 3) AS name, false AS is_folder, size FROM cat WHERE path_rel LIKE 'src1/en/%' AND NOT is_duplicate")
+_add("Q4_search", lambda s, d: catalog.search(_files(s, d).select("path_rel", "size"), "SRC1/", 100), "SELECT path_rel, size FROM files WHERE path_rel ILIKE '%SRC1/%' ORDER BY path_rel LIMIT 100")
+_add("Q5_get_file", lambda s, d: catalog.get_file(_files(s, d).select("path_rel", "size"), "src1\\en\\00000001.txt"), "SELECT path_rel, size FROM files WHERE path_rel = 'src1/en/00000001.txt'")
+_add("Q6_folder", lambda s, d: catalog.files_in_folder(_files(s, d).select("path_rel", "size"), "src2"), "SELECT path_rel, size FROM files WHERE path_rel LIKE 'src2/%'")
+_add("Q7_frames", lambda s, d: _volumes(s, d).select("frame_id", "volume_no", "volume_offset", "size", "original_size").orderBy("frame_id"), "SELECT frame_id, volume_no, volume_offset, size, original_size FROM fv")
+_add("Q8_details", lambda s, d: catalog.with_duplicate_counts(_catalog(s, d)).join(layout.start_frames(_offsets(s, d), FRAME).select("path_rel", "start", "start_frame"), "path_rel", "left").select("path_rel", "size", "is_duplicate", "duplicate_count", "start", "start_frame"), "SELECT c.path_rel, c.size, c.is_duplicate, coalesce(n, 0) AS duplicate_count, start, CASE WHEN o.size > 0 THEN start // 65536 END AS start_frame FROM cat c LEFT JOIN offs o USING (path_rel) LEFT JOIN (SELECT original_path, count(*) AS n FROM cat WHERE is_duplicate GROUP BY 1) k ON k.original_path = c.path_rel")
+_add("U1_Q17_selection", lambda s, d: catalog.expand_selection(_files(s, d).select("path_rel", "size"), ["src1/en/00000001.txt"], ["src2", "src2/en"]), "SELECT path_rel, size FROM files WHERE path_rel LIKE 'src2/%' OR path_rel = 'src1/en/00000001.txt'")
+_add("U3_deselected", lambda s, d: _files(s, d).select("path_rel").exceptAll(_files(s, d).filter(F.col("path_rel").startswith("src2/")).select("path_rel")), "SELECT path_rel FROM files WHERE path_rel NOT LIKE 'src2/%'")
+_add("S2_page_tree", lambda s, d: catalog.with_parent(pages_as_files(table(s, d, "pages"))).groupBy("parent_path").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), ", g AS (SELECT trim(regexp_replace(url, '^[a-z]+://', ''), '/') AS p, strlen(html) AS z FROM pages) SELECT CASE WHEN p LIKE '%/%' THEN regexp_replace(p, '/[^/]*$', '') ELSE '' END AS parent_path, count(*) AS n, CAST(sum(z) AS BIGINT) AS bytes FROM g GROUP BY 1")
+
+# Reports
+_add("Q12_A14_tree", lambda s, d: report.tree(_catalog(s, d)), """, u AS (SELECT size, string_split(path_rel, '/') AS p FROM cat WHERE NOT is_duplicate),
+a AS (SELECT '' AS path, '' AS parent, 0 AS depth, size FROM u UNION ALL SELECT p[1], '', 1, size FROM u UNION ALL SELECT p[1] || '/' || p[2], p[1], 2, size FROM u),
+g AS (SELECT path, parent, depth, CAST(sum(size) AS BIGINT) AS size, count(*) AS total_files FROM a GROUP BY ALL),
+c AS (SELECT g.*, (SELECT count(*) FROM g x WHERE x.path <> '' AND (g.path = '' OR x.path LIKE g.path || '/%')) AS folder_count FROM g)
+SELECT *, folder_count + total_files AS descendant_count, round(size * 100.0::DOUBLE / (SELECT total FROM tot), 1) AS share FROM c""")
+_add("O6_largest_children", lambda s, d: report.largest_children(report.tree(_catalog(s, d))).select("path", "place"), """, u AS (SELECT size, string_split(path_rel, '/') AS p FROM cat WHERE NOT is_duplicate),
+a AS (SELECT p[1] AS path, '' AS parent, size FROM u UNION ALL SELECT p[1] || '/' || p[2], p[1], size FROM u), g AS (SELECT path, parent, sum(size) AS size FROM a GROUP BY ALL)
+SELECT path, CAST(row_number() OVER (PARTITION BY parent ORDER BY size DESC, path) AS INT) AS place FROM g""")
+_add("Q13_compression_stats", lambda s, d: report.compression_stats(_catalog(s, d), _volumes(s, d)), """SELECT f.*, v.*, CASE WHEN compressed_bytes > 0 THEN original_bytes::DOUBLE / compressed_bytes ELSE 1 END AS ratio, CASE WHEN original_bytes > 0 THEN (original_bytes - compressed_bytes) * 100.0::DOUBLE / original_bytes ELSE 0 END AS saved_percent
+FROM (SELECT count(*) AS files, count(*) FILTER (is_duplicate) AS duplicates, CAST(coalesce(sum(size) FILTER (NOT is_duplicate), 0) AS BIGINT) AS original_bytes, CAST(coalesce(sum(size) FILTER (is_duplicate), 0) AS BIGINT) AS duplicate_bytes FROM cat) f,
+(SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS compressed_bytes, count(DISTINCT volume_no) AS volumes, string_agg(DISTINCT CAST(volume_no AS VARCHAR), ',' ORDER BY CAST(volume_no AS VARCHAR)) AS volume_list FROM fv) v""")
+_add("A12_mode_stats", lambda s, d: report.mode_stats(_frames(s, d)), "SELECT mode, count(*) AS frames, CAST(sum(original_size) AS BIGINT) AS original_bytes, CAST(sum(size) AS BIGINT) AS compressed_bytes, max(frame_id) AS last_frame, CASE mode WHEN 'raw' THEN 'RAW' ELSE 'CPU LZ4 (ext3)' END AS label, CASE WHEN sum(size) > 0 THEN CAST(sum(original_size) AS DOUBLE) / sum(size) ELSE 1 END AS ratio FROM fr GROUP BY mode")
+
+# Archives: codecs, packing and restoring, streams
+_add("Q15_Q11_pack_restore", lambda s, d: archive.restore(archive.pack(_files(s, d), FRAME, VOLUME)).select("path_rel", "size", F.sha2("content", 256).alias("digest")), "SELECT path_rel, size, sha256(text) AS digest FROM files")
+_add("X1_X2_codec_round_trip", lambda s, d: codecs.decode_frames(codecs.encode_frames(archive.frame_bytes(_files(s, d), FRAME))).select("frame_id", F.octet_length("data").cast("long").alias("original_size")), "SELECT frame_id, frame_end - frame_start AS original_size FROM fr0")
+_add("F19_F20_fnv", lambda s, d: _files(s, d).select("path_rel", codecs.fnv1a_hex("content").alias("fnv1a"), codecs.fnv_blocks_hex("content").alias("blocks")))
+_add("T1_T6_stream_frames", lambda s, d: frame_stream.batch_frames(table(s, d, "conversations"), 4096).select("frame_id", F.octet_length("data").cast("long").alias("size")), ", t AS (SELECT sum(strlen(coalesce(text, ''))) AS n FROM conversations) SELECT frame_id, CAST(least(4096, n - frame_id * 4096) AS BIGINT) AS size FROM t, unnest(range(0, CAST((n + 4095) // 4096 AS BIGINT))) AS u(frame_id)")
+
+# Functions
+_add("F1_F7_paths", lambda s, d: _sample(s, d).select("doc_id", paths.normalize_separators(paths.strip_anchor(F.col("p"))).alias("path"), paths.base_name(paths.normalize_separators(F.col("p"))).alias("name"), paths.parent_path(paths.normalize_separators(F.col("p"))).alias("parent"), F.array_join(paths.path_parts(paths.normalize_separators(F.col("p"))), "|").alias("parts")),
+     r""", p AS (SELECT doc_id, 'C:/data/' || source || '/' || lang || '//' || doc_id || '.txt' AS p, source, lang FROM documents) SELECT doc_id, substr(p, 4) AS path, doc_id || '.txt' AS name, 'C:/data/' || source || '/' || lang || '/' AS parent, 'C:|data|' || source || '|' || lang || '|' || doc_id || '.txt' AS parts FROM p""")
+_add("F8_format_bytes", lambda s, d: _files(s, d).select("path_rel", fmt.format_bytes(F.col("size")).alias("text")))
+_add("F12_attributes", lambda s, d: _attrs(s, d).select("doc_id", fmt.hex_attributes(F.col("attrs")).alias("hex"), F.col("attrs").bitwiseAND(F.lit(fmt.ATTRIBUTE_MASK)).alias("kept"), fmt.yes_no(F.col("flag")).alias("label"), F.coalesce("size", F.lit(0)).alias("size")), "SELECT doc_id, '0x' || upper(lpad(to_hex(attrs), 8, '0')) AS hex, attrs & 39 AS kept, CASE WHEN flag THEN 'Yes' ELSE 'No' END AS label, coalesce(size, 0) AS size FROM attr")
+_add("F13_epoch_text", lambda s, d: _attrs(s, d).select("doc_id", fmt.epoch_text(F.col("mtime")).alias("text")), "SELECT doc_id, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS text FROM attr")
+_add("F17_truncate", lambda s, d: table(s, d, "documents").select("doc_id", fmt.truncate(F.col("text"), 40).alias("text")), "SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 37) || '...' ELSE text END AS text FROM documents")
+_add("F21_md5", lambda s, d: _files(s, d).select("path_rel", F.md5("content").alias("digest")), "SELECT path_rel, md5(text) AS digest FROM files")
+_add("F26_occupancy", lambda s, d: _volumes(s, d).groupBy("volume_no").agg((F.sum("size") / F.lit(float(VOLUME)) > 0.4).alias("full")), "SELECT volume_no, sum(size) / 524288.0 > 0.4 AS full FROM fv GROUP BY 1")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"Q1_find_duplicates": lambda s, d: dedup.find_duplicates(_files(s, d))}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
