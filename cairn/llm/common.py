@@ -119,7 +119,7 @@ class ByteBpe:
     _near = re.compile(r"\s\s")
     _cut = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str, limit: int = 700_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
@@ -224,14 +224,15 @@ def release() -> None:
         gc.collect()
 
 
-def byte_bpe(path: str | None) -> ByteBpe:
-    """This worker's encoder; it lives as long as the worker, so later tasks find their words known."""
+def byte_bpe(path: str | None, limit: int = 600_000) -> ByteBpe:
+    """This worker's encoder, holding about ``limit`` words; it lives as long as the worker, so later tasks find their words known."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     if path not in _encoders:
         _encoders[path] = ByteBpe(path)
+    _encoders[path].limit = limit
     return _encoders[path]
 
 

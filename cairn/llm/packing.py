@@ -53,11 +53,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def pieces(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, tokenizer: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, tokenizer: str | None = None, cache_words: int = 600_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row of ``docs`` (doc_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_bpe(tokenizer)
+        encoder = byte_bpe(tokenizer, cache_words)
         for batch, texts in slices(batches):
             ids, sizes = with_end(*encoder.encode(texts), end_id)
             raw, rows, at = ids.astype("<u4").tobytes(), [], 0
@@ -154,9 +154,12 @@ def pack_best_fit(pieces_df: DataFrame, capacity: int = 1024, chunk: int = 200_0
     return placed.join(path, "bin", "left").select(*names, F.coalesce("to", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, tokenizer: str | None = None, chunk: int = 200_000) -> DataFrame:
-    """Tokenize and pack ``docs`` (doc_id, text); null texts are empty, and an empty text is its end id."""
-    cut = stage(pieces(named(docs, doc_id="doc_id", text="text"), capacity, end_id, tokenizer), "pieces")
+def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, tokenizer: str | None = None, chunk: int = 200_000, cache_words: int = 600_000) -> DataFrame:
+    """Tokenize and pack ``docs`` (doc_id, text); null texts are empty, and an empty text is its end id.
+
+    ``cache_words`` trades a worker's memory for time: the number of words whose ids it remembers.
+    """
+    cut = stage(pieces(named(docs, doc_id="doc_id", text="text"), capacity, end_id, tokenizer, cache_words), "pieces")
     return pack_best_fit(cut, capacity, chunk)
 
 

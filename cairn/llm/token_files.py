@@ -98,7 +98,7 @@ def encode_documents(docs: DataFrame, end_id: int | None = 2, tokenizer: str | N
     """Segments of every row of ``docs`` (doc_id, text), in ascending doc_id order (nulls first, ties by text hash)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = byte_bpe(tokenizer), TaskContext.get().partitionId()
+        encoder, part = byte_bpe(tokenizer, 900_000), TaskContext.get().partitionId()
         docs_held: list[int | None] = []
         sizes_held: list[np.ndarray] = []
         ids_held: list[np.ndarray] = []

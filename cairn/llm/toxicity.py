@@ -31,7 +31,7 @@ INPUTS = 2 * DIM + 3
 class Words:
     """Hashes and inputs of distinct words, computed once each."""
 
-    def __init__(self, model: dict | None = None, limit: int = 500_000) -> None:
+    def __init__(self, model: dict | None = None, limit: int = 300_000) -> None:
         self.model, self.limit = model, limit
         self.memo, self.n = _Ids(), 0
         self.x = np.zeros((1 << 12, INPUTS), np.float32)

@@ -38,7 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: a row for each piece of a document."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cache_words=250_000)  # executors still hold the other stages' memory
 
 
 STAGES = [
