@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 #: Labels of frame modes.
-MODE_LABELS = {"lz_ext3_gpu": "GPU LZ4 (ext3)", "lz_ext3_cpu": "CPU LZ4 (ext3)", "raw": "RAW"}
+MODE_LABELS = {"lz_ext3_gpu": "LZ4 GPU (Extended)", "lz4_gpu": "LZ4 GPU", "lz4": "LZ4", "raw": "RAW (Sem compressão)"}
 ATTRIBUTE_MASK = 0x27
 
 

@@ -164,7 +164,7 @@ SELECT path, CAST(row_number() OVER (PARTITION BY parent ORDER BY size DESC, pat
 _add("Q13_compression_stats", lambda s, d: report.compression_stats(_catalog(s, d), _volumes(s, d)), """SELECT f.*, v.*, CASE WHEN compressed_bytes > 0 THEN original_bytes::DOUBLE / compressed_bytes ELSE 1 END AS ratio, CASE WHEN original_bytes > 0 THEN (original_bytes - compressed_bytes) * 100.0::DOUBLE / original_bytes ELSE 0 END AS saved_percent
 FROM (SELECT count(*) AS files, count(*) FILTER (is_duplicate) AS duplicates, CAST(coalesce(sum(size) FILTER (NOT is_duplicate), 0) AS BIGINT) AS original_bytes, CAST(coalesce(sum(size) FILTER (is_duplicate), 0) AS BIGINT) AS duplicate_bytes FROM cat) f,
 (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS compressed_bytes, count(DISTINCT volume_no) AS volumes, string_agg(DISTINCT CAST(volume_no AS VARCHAR), ',' ORDER BY CAST(volume_no AS VARCHAR)) AS volume_list FROM fv) v""")
-_add("A12_mode_stats", lambda s, d: report.mode_stats(_frames(s, d)), "SELECT mode, count(*) AS frames, CAST(sum(original_size) AS BIGINT) AS original_bytes, CAST(sum(size) AS BIGINT) AS compressed_bytes, max(frame_id) AS last_frame, CASE mode WHEN 'raw' THEN 'RAW' ELSE 'CPU LZ4 (ext3)' END AS label, CASE WHEN sum(size) > 0 THEN CAST(sum(original_size) AS DOUBLE) / sum(size) ELSE 1 END AS ratio FROM fr GROUP BY mode")
+_add("A12_mode_stats", lambda s, d: report.mode_stats(_frames(s, d)), "SELECT mode, count(*) AS frames, CAST(sum(original_size) AS BIGINT) AS original_bytes, CAST(sum(size) AS BIGINT) AS compressed_bytes, max(frame_id) AS last_frame, CASE mode WHEN 'raw' THEN 'RAW (Sem compressão)' ELSE mode END AS label, CASE WHEN sum(size) > 0 THEN CAST(sum(original_size) AS DOUBLE) / sum(size) ELSE 1 END AS ratio FROM fr GROUP BY mode")
 
 # Archives: codecs, packing and restoring, streams
 _add("Q15_Q11_pack_restore", lambda s, d: archive.restore(archive.pack(_files(s, d), FRAME, VOLUME)).select("path_rel", "size", F.sha2("content", 256).alias("digest")), "SELECT path_rel, size, sha256(text) AS digest FROM files")
