@@ -8,8 +8,8 @@ into one logit, and a document's score is its highest window's, calibrated to th
 Labels belong to documents, not to windows, so training alternates: the window that now scores
 highest stands for its document, the network learns from these, and windows are chosen anew.
 
-The sample of labelled documents is bounded by ``per_class`` rows and ``sample_chars`` characters
-each: a parameter.  Scoring covers every window of every whole text, in one pass without a shuffle.
+The sample of labelled documents is bounded by rows and characters of each label, parameters of
+:func:`train`; its texts are whole.  Scoring covers every window of every whole text, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -296,19 +296,27 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_chars: int = 20_000) -> dict:
-    """Fit on a sample of labelled rows that aren't held out, at most ``per_class`` of each label.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_chars: int = 10_000_000) -> dict:
+    """Fit on a sample of labelled rows that aren't held out: of each label at most ``per_class`` rows, in order of a hash of their id, and
+    at most ``class_chars`` characters.  A text that doesn't fit in what is left of the characters is passed over; those taken are whole.
 
     Null labels and ids are not learned from.  Without a row of either label there is no evidence: scores are then those of
-    an untrained network.  An id labelled twice counts by its highest label.
+    an untrained network.  An id labelled twice counts by its highest label, and one with several texts by one of them.
     """
     known = named(labels, doc_id="doc_id", toxic="toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).filter(~held_out())
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = []
-    for y in (0, 1):
-        ids = known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = named(docs, doc_id="doc_id", text="text").join(F.broadcast(ids), "doc_id")  # per_class ids at most
-        rows += picked.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class).collect()
+    first, second = (known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1))
+    texts = named(docs, doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
+    picked = texts.join(F.broadcast(first.union(second)), "doc_id")  # per_class ids of each label at most
+    one = picked.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"))).alias("t"))
+    left, chosen = {0: class_chars, 1: class_chars}, []
+    for r in one.select("doc_id", "toxic", "t.h", "t.n").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["n"]
+            chosen.append((r["doc_id"], r["h"], r["toxic"]))
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long, toxic int")
+    taken = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"]).groupBy("doc_id", "toxic").agg(F.first("text").alias("text"))
+    rows = taken.orderBy("toxic", F.xxhash64("doc_id"), "doc_id").collect()
     n = sum(counts.values())
     return fit([r["text"] for r in rows] or [""], np.array([r["toxic"] for r in rows] or [0]), min(0.5, max(0.01, counts.get(1, 0) / n)) if n else 0.5)
 
