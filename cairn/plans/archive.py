@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import codecs, dedup, layout
+from ..staging import stage
 
 
 class Archive(NamedTuple):
@@ -18,24 +19,21 @@ class Archive(NamedTuple):
     frames: DataFrame
 
 
-def _joined(parts: str) -> Column:
-    """Bytes of an array<struct<at, bytes>> in order."""
-    return F.aggregate(F.array_sort(parts), F.lit(b""), lambda out, p: F.concat(out, p["bytes"]))
-
-
-def frame_bytes(files: DataFrame, frame_size: int, catalog: DataFrame | None = None) -> DataFrame:
+def frame_bytes(files: DataFrame, frame_size: int, slices: DataFrame | None = None) -> DataFrame:
     """(frame_id, data): unique contents cut into frames; no row is larger than a frame."""
-    catalog = dedup.find_duplicates(files) if catalog is None else catalog
-    cut = layout.slices(layout.file_offsets(catalog), frame_size).join(files.select("path_rel", "content"), "path_rel")
+    slices = layout.slices(layout.file_offsets(dedup.find_duplicates(files)), frame_size) if slices is None else slices
+    cut = slices.join(files.select("path_rel", "content"), "path_rel")
     part = F.struct(F.col("in_frame").alias("at"), F.expr("substring(content, cast(in_file + 1 as int), cast(length as int))").alias("bytes"))
-    return cut.groupBy("frame_id").agg(F.collect_list(part).alias("parts")).select("frame_id", _joined("parts").alias("data"))
+    return cut.groupBy("frame_id").agg(F.collect_list(part).alias("parts")).select("frame_id", codecs.joined("parts", "at", "bytes").alias("data"))
 
 
-def pack(files: DataFrame, frame_size: int = 16 << 20, max_volume: int = 98 << 20) -> Archive:
-    catalog = dedup.find_duplicates(files)
-    encoded = codecs.encode_frames(frame_bytes(files, frame_size, catalog))
+def pack(files: DataFrame, frame_size: int = 16 << 20, max_volume: int = 98 << 20, mode: str = "lz4") -> Archive:
+    """The catalog, the slices and the encoded frames are each computed once and written to the shared folder, as later steps read them more than once."""
+    catalog = stage(dedup.find_duplicates(files), "catalog")
+    slices = stage(layout.slices(layout.file_offsets(catalog), frame_size), "slices")
+    encoded = stage(codecs.encode_frames(frame_bytes(files, frame_size, slices), mode), "frames")
     placed = layout.next_fit(encoded.select("frame_id", "size"), max_volume).select("frame_id", "volume_no", "volume_offset")
-    return Archive(catalog, layout.slices(layout.file_offsets(catalog), frame_size), encoded.join(placed, "frame_id"))
+    return Archive(catalog, slices, encoded.join(placed, "frame_id"))
 
 
 def write(archive: Archive, path: str) -> None:
@@ -60,5 +58,5 @@ def restore(archive: Archive, selection: DataFrame | None = None) -> DataFrame:
     slices = archive.slices.join(wanted, "path_rel", "left_semi")
     frames = archive.frames if selection is None else archive.frames.join(slices.select("frame_id").distinct(), "frame_id", "left_semi")
     part = F.struct(F.col("in_file").alias("at"), F.expr("substring(data, cast(in_frame + 1 as int), cast(length as int))").alias("bytes"))
-    whole = slices.join(codecs.decode_frames(frames), "frame_id").groupBy("path_rel").agg(F.collect_list(part).alias("parts")).select(F.col("path_rel").alias("source"), _joined("parts").alias("content"))
+    whole = slices.join(codecs.decode_frames(frames), "frame_id").groupBy("path_rel").agg(F.collect_list(part).alias("parts")).select(F.col("path_rel").alias("source"), codecs.joined("parts", "at", "bytes").alias("content"))
     return files.join(whole, "source", "left").select("path_rel", "size", F.coalesce("content", F.lit(b"")).alias("content"))

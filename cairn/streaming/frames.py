@@ -27,8 +27,8 @@ def cut_chunks(chunks: DataFrame, frame_size: int) -> DataFrame:
 
 def join_frames(parts: DataFrame) -> DataFrame:
     """Whole frames from their parts."""
-    g = parts.groupBy("stream", "frame_id").agg(F.array_sort(F.collect_list(F.struct("in_frame", "data"))).alias("p"))
-    return g.select("stream", "frame_id", F.aggregate("p", F.lit(b""), lambda out, x: F.concat(out, x["data"])).alias("data"))
+    g = parts.groupBy("stream", "frame_id").agg(F.collect_list(F.struct("in_frame", "data")).alias("p"))
+    return g.select("stream", "frame_id", codecs.joined("p", "in_frame", "data").alias("data"))
 
 
 def batch_frames(conversations: DataFrame, frame_size: int) -> DataFrame:

@@ -102,6 +102,25 @@ def test_lz_round_trip():
             assert codecs.lz_decode(codecs.lz_encode(data), n) == data
 
 
+def test_lz4_blocks_are_strict_and_standard():
+    rng = random.Random(6)
+    for data in (b"", b"a", b"ab" * 5000, rng.randbytes(3000), bytes(70_000)):
+        packed = codecs.lz4_encode(data)
+        assert codecs.lz4_decode(packed, len(data)) == codecs.lz_decode(packed, len(data), offset_bytes=2) == data
+        for wrong in (len(data) - 1, len(data) + 1):
+            if wrong >= 0:
+                with pytest.raises(codecs.CodecError):
+                    codecs.lz4_decode(packed, wrong)
+
+
+@pytest.mark.parametrize("mode", sorted(codecs.ENCODERS))
+def test_encoded_frames_come_back(spark, mode):
+    rows = [(0, b"hello world " * 900), (1, random.Random(2).randbytes(500)), (2, b"x")]
+    packed = codecs.encode_frames(ship(spark).createDataFrame(rows, "frame_id long, data binary"), mode)
+    assert [r["mode"] for r in packed.orderBy("frame_id").collect()] == [mode, "raw", "raw"]
+    assert [(r.frame_id, bytes(r.data)) for r in codecs.decode_frames(packed).orderBy("frame_id").collect()] == rows
+
+
 def test_other_codecs():
     assert codecs.simple_lz_decode(bytes.fromhex("00016101010003"), 4) == b"aaaa"
     with pytest.raises(codecs.CodecError):
