@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,54 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="cairn-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and an executor's loss costs no recomputation."""
-    spark = ship(df.sparkSession)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Delete staged tables that no later result reads."""
-    for frame in frames:
-        files = frame.inputFiles()[:1]
-        for spark, path in list(_staged):
-            if files and path.rsplit("/", 1)[-1] in files[0]:
-                _delete(spark, path)
-                _staged.remove((spark, path))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _cleanup() -> None:
-    for spark, path in _staged:
-        if spark.sparkContext._jsc is not None:
-            try:
-                _delete(spark, path)
-            except Exception:  # the JVM may have gone first  # noqa: BLE001
-                return
-
+from ..staging import stage, unstage  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
