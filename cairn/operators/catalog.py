@@ -61,6 +61,15 @@ def with_originals(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.join(o, "original_path").select("path_rel", "original_path", "original_size"), d.join(o, "original_path", "left_anti").select("path_rel", "original_path")
 
 
+def resolve_originals(files: DataFrame) -> DataFrame:
+    """(path_rel, resolved) of duplicates: their original's path as named, else below the duplicate's own root folder, else null."""
+    d = files.filter("is_duplicate").select("path_rel", "original_path")
+    d = d.withColumn("below", F.concat_ws("/", F.nullif(paths.root_prefix(F.col("path_rel"), F.col("original_path")), F.lit("")), "original_path"))
+    o = files.filter("not is_duplicate").select("path_rel")
+    named, rooted = o.select(F.col("path_rel").alias("original_path"), F.col("path_rel").alias("_named")), o.select(F.col("path_rel").alias("below"), F.col("path_rel").alias("_rooted"))
+    return d.join(named, "original_path", "left").join(rooted, "below", "left").select("path_rel", F.coalesce("_named", "_rooted").alias("resolved"))
+
+
 def dictionary(files: DataFrame, column: str) -> DataFrame:
     """(id, value): distinct values numbered by first appearance in path order."""
     first = files.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(F.struct(F.lower("path_rel"), "path_rel")).alias("f"))

@@ -198,6 +198,52 @@ def decode_frame(mode: str, data: bytes, size: int, dictionary: list[int] | None
 ENCODERS = {"lz4": lz4_encode, "lz_ext3_cpu": lz_encode}
 
 
+def rle_encode(data: bytes) -> bytes:
+    """Runs as triples of a 16-bit count and a byte; longer runs are several."""
+    a = np.frombuffer(data, np.uint8)
+    first = np.flatnonzero(np.diff(a, prepend=a[:1] ^ 1)) if len(a) else np.zeros(0, np.int64)
+    length = np.diff(np.append(first, len(a)))
+    pieces = -(-length // 0xFFFF)
+    count = np.full(int(pieces.sum()), 0xFFFF, np.int64)
+    count[np.cumsum(pieces) - 1] = length - (pieces - 1) * 0xFFFF
+    return np.stack([count & 255, count >> 8, np.repeat(a[first], pieces)], 1).astype(np.uint8).tobytes()
+
+
+def map_encode(data: bytes, dictionary: list[int]) -> bytes:
+    table = bytearray(256)
+    for code, b in enumerate([*dictionary, *(b for b in range(256) if b not in set(dictionary))]):
+        table[b] = code
+    return data.translate(bytes(table))
+
+
+def pattern_encode(data: bytes, patterns: list[bytes]) -> bytes:
+    """Patterns by number where they stand, the first that fits; all other bytes are escaped."""
+    out, i = bytearray(), 0
+    while i < len(data):
+        k = next((k for k, p in enumerate(patterns) if p and data.startswith(p, i)), None)
+        out += bytes([0xFF, data[i]]) if k is None else bytes([k])
+        i += 1 if k is None else len(patterns[k])
+    return bytes(out)
+
+
+def delta_encode(data: bytes) -> bytes:
+    return np.diff(np.frombuffer(data, np.uint8), prepend=np.uint8(0)).astype(np.uint8).tobytes()
+
+
+def encode_legacy(frames: DataFrame, mode: str, dictionary: list[int] | None = None, patterns: list[bytes] | None = None) -> DataFrame:
+    """(frame_id, data) to (frame_id, mode, original_size, size, payload) in one of the older modes, for archives that older readers take."""
+    before = {"rle1": lambda d: d, "rle2": lambda d: map_encode(d, dictionary or []), "pattern_rle": lambda d: pattern_encode(d, patterns or []), "delta_rle": delta_encode}[mode]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = batch.column(1)[i].as_py()
+                payload = rle_encode(before(data))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([mode]), pa.array([len(data)], pa.int64()), pa.array([len(payload)], pa.int64()), pa.array([payload], pa.binary())], ["frame_id", "mode", "original_size", "size", "payload"])
+
+    return frames.select("frame_id", "data").mapInArrow(run, "frame_id long, mode string, original_size long, size long, payload binary")
+
+
 def encode_frames(frames: DataFrame, mode: str = "lz4") -> DataFrame:
     """(frame_id, data) to (frame_id, mode, original_size, size, payload); what doesn't shrink stays raw.
 

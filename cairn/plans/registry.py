@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import ship
 from ..functions import fmt, paths
@@ -15,6 +17,7 @@ from ..streaming import frames as frame_stream
 from . import archive
 
 FRAME, VOLUME = 65_536, 524_288
+OLD = StructType().add("path_rel", "string").add("size", "long").add("attrs", "long").add("mtime", "double")
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
@@ -183,6 +186,46 @@ _add("F21_md5", lambda s, d: _files(s, d).select("path_rel", F.md5("content").al
 _add("F26_occupancy", lambda s, d: _volumes(s, d).groupBy("volume_no").agg((F.sum("size") / F.lit(float(VOLUME)) > 0.4).alias("full")), "SELECT volume_no, sum(size) / 524288.0 > 0.4 AS full FROM fv GROUP BY 1")
 
 
+# Further forms of the queries above
+_PATTERNS, _DICTIONARY = [b"the ", b"ing"], [32, 101, 116]
+
+
+def _legacy(s: SparkSession, d: str) -> DataFrame:
+    """Frames dealt over the four older modes, decoded by the recorded mode."""
+    f = archive.frame_bytes(_files(s, d), FRAME)
+    parts = [codecs.encode_legacy(f.filter(F.pmod("frame_id", F.lit(4)) == i), m, _DICTIONARY, _PATTERNS) for i, m in enumerate(("rle1", "rle2", "pattern_rle", "delta_rle"))]
+    return codecs.decode_frames(reduce(DataFrame.unionByName, parts), _DICTIONARY, _PATTERNS).select("frame_id", F.octet_length("data").cast("long").alias("original_size"))
+
+
+def _display(s: SparkSession, d: str) -> DataFrame:
+    first = layout.start_frames(_offsets(s, d), FRAME).select("path_rel", F.col("start_frame").alias("frame_id"))
+    c = _catalog(s, d).join(first, "path_rel", "left").join(_volumes(s, d).select("frame_id", "volume_no"), "frame_id", "left")
+    return c.select("path_rel", paths.base_name(F.col("path_rel")).alias("name"), fmt.format_bytes(F.col("size"), 2).alias("size_text"), paths.volume_name("archive", F.col("volume_no")).alias("volume"), F.col("frame_id").cast("string").alias("frame"), fmt.yes_no(F.col("is_duplicate")).alias("duplicate"))
+
+
+def _bytes_sql(size: str, n: int) -> str:
+    return f"CASE WHEN {size} < 1024 THEN printf('%.{n}f B', {size}::DOUBLE) WHEN {size} < 1048576 THEN printf('%.{n}f KB', {size} / 1024.0::DOUBLE) WHEN {size} < 1073741824 THEN printf('%.{n}f MB', {size} / 1048576.0::DOUBLE) ELSE printf('%.{n}f GB', {size} / 1073741824.0::DOUBLE) END"
+
+
+_add("F8_format_bytes", QUERIES["F8_format_bytes"], f"SELECT path_rel, {_bytes_sql('size', 1)} AS text FROM files")
+_add("F9_format_two_decimals", lambda s, d: _files(s, d).select("path_rel", fmt.format_bytes(F.col("size"), 2).alias("text")), f"SELECT path_rel, {_bytes_sql('size', 2)} AS text FROM files")
+_add("F10_volume_numbers", lambda s, d: _volumes(s, d).select("frame_id", paths.volume_number(paths.volume_name("archive", F.col("volume_no"))).alias("number")), "SELECT frame_id, CASE WHEN volume_no < 1000 THEN CAST(volume_no AS INT) END AS number FROM vol")
+_add("P7_Q18_wildcards", lambda s, d: catalog.search(_files(s, d).select("path_rel", "size"), "SRC_/%/0000%5.TXT", 200), "SELECT path_rel, size FROM files WHERE path_rel ILIKE 'SRC_/%/0000%5.TXT' ORDER BY path_rel LIMIT 200")
+_add("P9_root_folder", lambda s, d: catalog.files_in_folder(_files(s, d).select("path_rel", "size"), "/"), "SELECT path_rel, size FROM files")
+_add("P13_frame_routes", lambda s, d: _frames(s, d).groupBy(F.col("mode").startswith("lz").alias("packed")).agg(F.count("*").alias("n")), "SELECT mode <> 'raw' AS packed, count(*) AS n FROM fr GROUP BY 1")
+_add("P15_missing_columns", lambda s, d: catalog.conform(_files(s, d).select("path_rel", "size"), OLD), "SELECT path_rel, size, CAST(NULL AS BIGINT) AS attrs, CAST(NULL AS DOUBLE) AS mtime FROM files")
+_add("P16_display", _display, f"SELECT c.path_rel, split_part(c.path_rel, '/', 3) AS name, {_bytes_sql('c.size', 2)} AS size_text, 'archive.' || lpad(CAST(volume_no AS VARCHAR), 3, '0') AS volume, CAST(CASE WHEN o.size > 0 THEN start // 65536 END AS VARCHAR) AS frame, CASE WHEN is_duplicate THEN 'Yes' ELSE 'No' END AS duplicate FROM cat c LEFT JOIN offs o USING (path_rel) LEFT JOIN vol ON vol.frame_id = CASE WHEN o.size > 0 THEN start // 65536 END")
+_add("J7_frame_modes", lambda s, d: _frames(s, d).select("frame_id").join(_frames(s, d).filter("frame_id % 3 <> 0").select("frame_id", "mode"), "frame_id", "left").select("frame_id", F.coalesce("mode", F.lit("raw")).alias("mode")), "SELECT frame_id, CASE WHEN frame_id % 3 <> 0 THEN mode ELSE 'raw' END AS mode FROM fr")
+_add("J8_F11_rooted_originals", lambda s, d: catalog.resolve_originals(_catalog(s, d).withColumn("path_rel", F.concat(F.lit("backup/"), "path_rel"))), "SELECT 'backup/' || path_rel AS path_rel, 'backup/' || original_path AS resolved FROM cat WHERE is_duplicate")
+_add("O10_first_missing", lambda s, d: catalog.with_originals(_catalog(s, d).filter("size < 2000 or is_duplicate"))[1].orderBy("path_rel").limit(5), ", k AS (SELECT * FROM cat WHERE size < 2000 OR is_duplicate) SELECT path_rel, original_path FROM k WHERE is_duplicate AND original_path NOT IN (SELECT path_rel FROM k WHERE NOT is_duplicate) ORDER BY path_rel LIMIT 5")
+_add("A19_child_folders", lambda s, d: catalog.list_dir(_catalog(s, d)).filter("is_folder").select("name"), "SELECT DISTINCT split_part(path_rel, '/', 1) AS name FROM files")
+_add("S14_selection_lines", lambda s, d: catalog.read_selection(_files(s, d).select(F.concat(F.lit("  C:\\"), F.translate("path_rel", "/", "\\"), F.lit(" ")).alias("value"))), "SELECT DISTINCT path_rel FROM files")
+_add("U4_other_bytes", lambda s, d: table(s, d, "nation").select("n_nationkey", F.array_join(F.array_except(F.sequence(F.lit(0), F.lit(255)), F.array(F.col("n_nationkey").cast("int"), F.lit(255))), ",").alias("rest")), "SELECT n_nationkey, array_to_string(list_filter(range(255), lambda x: x <> n_nationkey), ',') AS rest FROM nation")
+_add("T4_T5_A25_stream_catalog", lambda s, d: frame_stream.stream_catalog(frame_stream.batch_frames(table(s, d, "conversations"), 4096).select(F.octet_length("data").cast("long").alias("original_size"))), ", t AS (SELECT CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n FROM conversations) SELECT '<stdin>' AS path_rel, n AS size, (n + 4095) // 4096 AS frames FROM t")
+_add("Q14_badges", lambda s, d: catalog.with_duplicate_counts(_catalog(s, d)).join(_sddl_files(s, d).select("path_rel", "sddl"), "path_rel", "left").select("path_rel", "duplicate_count", "has_duplicates", F.coalesce(F.length("sddl") > 0, F.lit(False)).alias("has_acls")), "SELECT c.path_rel, coalesce(n, 0) AS duplicate_count, coalesce(n, 0) > 0 AS has_duplicates, length(split_part(c.path_rel, '/', 2)) > 0 AS has_acls FROM cat c LEFT JOIN (SELECT original_path, count(*) AS n FROM cat WHERE is_duplicate GROUP BY 1) o ON o.original_path = c.path_rel")
+_add("X6_X12_legacy_round_trip", _legacy, "SELECT frame_id, frame_end - frame_start AS original_size FROM fr0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -121,6 +121,21 @@ def test_encoded_frames_come_back(spark, mode):
     assert [(r.frame_id, bytes(r.data)) for r in codecs.decode_frames(packed).orderBy("frame_id").collect()] == rows
 
 
+def test_older_modes_come_back():
+    rng, dictionary, patterns = random.Random(4), [101, 32], [b"the ", b"in"]
+    for data in (b"", b"a", b"the inn in the sea" * 9, bytes(200_000), rng.randbytes(999), b"\xff\x00" * 40):
+        assert codecs.rle_decode(codecs.rle_encode(data)) == data
+        assert codecs.map_decode(codecs.map_encode(data, dictionary), dictionary) == data
+        assert codecs.pattern_decode(codecs.pattern_encode(data, patterns), patterns) == data
+        assert codecs.delta_decode(codecs.delta_encode(data)) == data
+
+
+def test_originals_below_their_root(spark):
+    rows = [("r/a", False, None), ("r/b", True, "a"), ("c", True, "r/a"), ("r/d", True, "gone")]
+    got = catalog.resolve_originals(spark.createDataFrame(rows, "path_rel string, is_duplicate boolean, original_path string"))
+    assert {r.path_rel: r.resolved for r in got.collect()} == {"r/b": "r/a", "c": "r/a", "r/d": None}
+
+
 def test_other_codecs():
     assert codecs.simple_lz_decode(bytes.fromhex("00016101010003"), 4) == b"aaaa"
     with pytest.raises(codecs.CodecError):
