@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from ..staging import stage, unstage  # noqa: F401
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
