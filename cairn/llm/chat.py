@@ -3,7 +3,9 @@
 For each participant of a conversation the dialogue is rendered with that speaker as assistant and
 the others as named users; spans of code points mark the assistant's words, which a trainer scores.
 A dialogue comes in parts of ``turns_per_part`` turn numbers, so that no row grows with a
-conversation's length; ``part_start`` is a part's place in the whole rendering.
+conversation's length; ``part_start`` is a part's place in the whole rendering.  It is the sum of
+the parts before it in its range of parts and of the ranges before, so no task holds more texts of
+a long conversation than a range's.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ def _header(speaker: Column, me: Column) -> Column:
     return F.when(speaker == me, F.lit("<|assistant|>\n")).otherwise(other)
 
 
-def rotate(conversations: DataFrame, turns_per_part: int = 64) -> DataFrame:
+def rotate(conversations: DataFrame, turns_per_part: int = 64, parts_per_range: int = 1024) -> DataFrame:
     """(conv_id, speaker, part, part_start, n_turns, n_rows, n_target, mask, text) for each participant and part.
 
     ``mask`` is an array<struct<start, end>> of the assistant's words and end marks in the part's
@@ -50,8 +52,14 @@ def rotate(conversations: DataFrame, turns_per_part: int = 64) -> DataFrame:
 
     text = F.array_join(F.transform("turns", lambda t: F.concat(_header(t["who"], F.col("speaker")), t["said"], F.lit(END))), "")
     done = seen.select("conv_id", "speaker", "part", "n_rows", F.size("turns").alias("n_turns"), F.aggregate("turns", empty, add).alias("state"), text.alias("text"))
-    before = F.sum(F.col("state.at")).over(Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    return done.select("conv_id", "speaker", "part", F.coalesce(before, F.lit(0)).alias("part_start"), "n_turns", "n_rows", F.size("state.mask").alias("n_target"), F.col("state.mask").alias("mask"), "text")
+    # A struct is equal to another also where both hold null, so a null conv_id joins without a partitioning of its own.
+    ranged = done.select("*", F.struct("conv_id").alias("conv"), F.floor(F.col("part") / parts_per_range).alias("range"))
+    up_to = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("conv", "speaker", "range").agg(F.sum("state.at").alias("length"))
+    starts = sums.select("conv", "speaker", "range", F.coalesce(F.sum("length").over(up_to("conv", "speaker", "range")), F.lit(0)).alias("range_start"))
+    inside = F.coalesce(F.sum("state.at").over(up_to("conv", "speaker", "range", "part")), F.lit(0))
+    placed = ranged.withColumn("inside", inside).join(starts, ["conv", "speaker", "range"])
+    return placed.select("conv_id", "speaker", "part", (F.col("range_start") + F.col("inside")).alias("part_start"), "n_turns", "n_rows", F.size("state.mask").alias("n_target"), F.col("state.mask").alias("mask"), "text")
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,14 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 2048, chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Each batch in slices of bounded rows and characters (one row at least), with the texts; null texts are empty."""
     for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import named, release, slices, stage, table, unstage
+from .common import free_name, named, release, slices, stage, table, unstage
 
 FEATURES, RANGE = 1 << 18, 1 << 12
 WORDS = 5
@@ -369,7 +369,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     first = classes.filter("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
     alone = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(alone)).filter("_n = 1").drop("_n").union(docs.filter("doc_id is null"))
+    n = free_name(docs, "n")
+    return kept.withColumn(n, F.row_number().over(alone)).filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter("doc_id is null"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _Ids, named, release, slices, table, words_of
+from .common import _Ids, free_name, named, release, slices, table, words_of
 
 T, STRIDE = 32, 16
 TABLE, EMBED, DIM, HIDDEN = 1 << 18, 1 << 12, 4, 8
@@ -321,8 +321,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_chars
     return fit([r["text"] for r in rows] or [""], np.array([r["toxic"] for r in rows] or [0]), min(0.5, max(0.01, counts.get(1, 0) / n)) if n else 0.5)
 
 
-def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs`` (with a text column) and ``score`` and ``predicted``; null texts are empty, empty texts have a score too."""
+def score(docs: DataFrame, model: dict, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` (with a text column) and ``score`` and ``predicted``, under ``names``, in place of columns so named; null texts are empty, empty texts have a score too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size, about 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,10 +330,16 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
         words = Words(shared.value)
         for batch, texts in slices(batches, rows=1024, chars=2_000_000):
             scores = score_texts(texts, words)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*batch.schema.names, *names])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("score", "predicted"))
-    return docs.drop("score", "predicted").mapInArrow(run, f"{kinds}, score double, predicted int")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in names)
+    return docs.drop(*names).mapInArrow(run, f"{kinds}, `{names[0]}` double, `{names[1]}` int")
+
+
+def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
+    """``docs`` without those that score ``threshold`` or more; its columns stay as they are, also ones named like a score."""
+    names = free_name(docs, "score"), free_name(docs, "predicted")
+    return score(docs, model, threshold, names).filter(F.col(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

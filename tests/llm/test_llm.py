@@ -307,6 +307,29 @@ def luhn(d):
     return sum(int(c) if i % 2 == 0 else (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(c)] for i, c in enumerate(reversed(d))) % 10 == 0
 
 
+def test_chat_places_over_ranges(spark):
+    turns = [(c, t, ("ann", "bob")[t % 2], "word " * (t % 5)) for c in (None, 1) for t in range(37)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = collections.defaultdict(list)
+    for r in chat.rotate(df, turns_per_part=2, parts_per_range=3).collect():
+        got[r.conv_id, r.speaker].append((r.part, r.part_start, len(r.text)))
+    assert len(got) == 4
+    for parts in got.values():
+        at = 0
+        for _, start, size in sorted(parts):
+            assert start == at
+            at += size
+        assert len(parts) == 19
+
+
+def test_filters_keep_columns_named_like_their_own(spark):
+    df = spark.createDataFrame([(1, "a clean text", 7, "x", 0.5, 1), (2, "a clean text", 8, "y", 0.5, 1)], "doc_id long, text string, n int, _n string, score double, predicted int")
+    assert near_dups.keep_one(df).collect() == df.filter("doc_id = 1").collect()
+    model = toxicity.fit(["clean words only"] * 8 + ["vile words only"] * 8, np.repeat([0, 1], 8))
+    assert toxicity.drop_toxic(df, model, 2.0).orderBy("doc_id").collect() == df.orderBy("doc_id").collect()
+    assert toxicity.drop_toxic(df, model, 0.0).count() == 0
+
+
 def test_pseudonyms(spark, docs, none):
     values = ["4111 1111 1111 1111", "4111111111111111", "4111111111111112", "+1 (773) 555-3030", "773-555-3030", "123-45-6789", "000-45-6789", "10.0.255.1", "10.0.256.1", "2024-02-29", "2023-02-29", "Ann.Lee9@mail.example.com"]
     df = spark.createDataFrame([(i, f"a {v}, b {v}; \x01\x02 é", "c", 1) for i, v in enumerate(values)], SCHEMA)
