@@ -7,7 +7,6 @@ Parquet and read again as the next one's input.  Filtering stages return the col
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn import ship
 from cairn.llm import decontaminate, near_dups, packing, secrets, toxicity
@@ -17,7 +16,7 @@ from cairn.llm.common import stage, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on labelled rows of ``docs``, doesn't call toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
