@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Windows of a document are as long as an item.  A window that is similar to an item shares a shingle
-with it, so windows are placed where a document's shingle is an item's, in line with that item: the
-other windows can't pass the last step and get no fingerprint.  Each window's 64-bit fingerprint is
-looked up in a multi-index of the items' fingerprints: eight blocks of eight bits, each probed
-within two bits, hold every item within 23 bits.  Those candidates are verified by the weighted
-Jaccard similarity of window and item shingles.
+Windows of a document are as long as an item and start at any word.  Running sums of the weights of
+a document's shingles, and of those that are an item's, bound the similarity of every window and item
+from above; windows under the threshold by that bound can't pass the last step and get no
+fingerprint.  Each other window's 64-bit fingerprint is looked up in a multi-index of the items'
+fingerprints: eight blocks of eight bits, each probed within two bits, hold every item within 23
+bits.  Those candidates, and the items for which the bound lets the window pass, as a similar one can
+be further away, are verified by the weighted Jaccard similarity of window and item shingles.
 
 Items are sent to all tasks, ``block`` items at a time, which bounds what is broadcast; more items
 mean more passes over the documents.  Documents are not shuffled.
@@ -58,6 +59,7 @@ class Items:
         self.weight = {h: float(1 + np.log((1 + len(ids)) / (1 + n)) / np.log(2 + len(ids))) for h, n in df.items()}
         self.unknown = float(1 + np.log(1 + len(ids)) / np.log(2 + len(ids)))
         self.sets = [self.weighted(s) for s in self.shingles]
+        self.totals = [sum(s.values()) for s in self.sets]
         self.prints = np.array([self.fingerprint(s) for s in self.sets], np.uint64)
         self.index = [[[] for _ in range(256)] for _ in range(8)]
         for i, p in enumerate(self.prints.tolist()):
@@ -93,28 +95,69 @@ class Items:
         found = set().union(*(self.index[j][fingerprint >> 8 * j & 255] for j in range(8)))
         return [i for i in found if (fingerprint ^ int(self.prints[i])).bit_count() <= RADIUS]
 
-    def hits(self, hashes: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-        """By place in ``hashes`` of the shared shingle: (start, item) of the windows in line with it."""
-        out: dict[int, set[tuple[int, int]]] = {}
-        for m, (seen, keys, item, place) in self.places.items():
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``hashes``, item) of the shared shingles, once for each place of the shingle in the item."""
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m, (seen, keys, item, _) in self.places.items():
             r = rolled(hashes, m)
             at = np.flatnonzero(seen[(r & np.uint64(0xFFFFF)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, r[at], "left"), np.searchsorted(keys, r[at], "right")
-            for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                if a < b:
-                    out.setdefault(p, set()).update((p - int(place[x]), int(item[x])) for x in range(a, b))
+            n = hi - lo
+            places.append(np.repeat(at, n))
+            found.append(item[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        return np.concatenate(places), np.concatenate(found)
+
+    def windows(self, hashes: np.ndarray, places: np.ndarray, items: np.ndarray, threshold: float) -> dict[tuple[int, int], set[int]]:
+        """By (start, size) of a window of one text, the items with which it may reach the threshold; starts are any, sizes those of the items hit.
+
+        The weight of a window's places that hold an item's shingles bounds what the two share from
+        above, so no window that reaches the threshold is left out.
+        """
+        out: dict[tuple[int, int], set[int]] = {}
+        length = len(hashes)
+        order = np.lexsort((places, items))
+        places, items = places[order], items[order]
+        hit, first = np.unique(items, return_index=True)
+        sizes = sorted({min(self.counts[i], length) for i in hit.tolist()})
+        weight = None
+        for i, at in zip(hit.tolist(), np.split(places, first)[1:], strict=True):
+            at = np.unique(at)
+            m = min(self.words, self.counts[i])
+            if m < self.words:  # one shingle, the whole window
+                for p in at.tolist():
+                    out.setdefault((p, m), set()).add(i)
+                continue
+            if weight is None:
+                r = rolled(hashes, m)
+                weight = np.full(len(r), self.unknown)
+                known = np.unique(places[np.array(self.counts)[items] >= m])
+                weight[known] = [self.weight[h] for h in r[known].tolist()]
+            if weight[at].sum() < threshold * self.totals[i] - 1e-6:
+                continue
+            base = max(0, int(at[0]) + m - sizes[-1])
+            every = np.concatenate([[0.0], np.cumsum(weight[base : int(at[-1]) + sizes[-1]])])
+            own = np.zeros(len(every) - 1)
+            own[at - base] = weight[at]
+            own = np.concatenate([[0.0], np.cumsum(own)])
+            for size in sizes:
+                if size >= m:
+                    start = np.arange(max(0, int(at[0]) + m - size), min(length - size, int(at[-1])) + 1)
+                    a, b = start - base, start - base + size - m + 1
+                    both = np.minimum(own[b] - own[a], self.totals[i])
+                    for s in start[both >= threshold * (every[b] - every[a] + self.totals[i] - both) - 1e-6].tolist():
+                        out.setdefault((s, size), set()).add(i)
         return out
 
-    def matches(self, hashes: np.ndarray, starts: set[tuple[int, int]], threshold: float) -> list[tuple[int, int, int, int, float]]:
+    def matches(self, hashes: np.ndarray, windows: dict[tuple[int, int], set[int]], threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(item, start, words, distance, similarity) of the best window of each item in one text."""
         best: dict[int, tuple[float, int, int, int]] = {}
-        for start, size in sorted({(max(0, min(s, len(hashes) - self.counts[i])), min(self.counts[i], len(hashes))) for s, i in starts}):
+        for (start, size), able in sorted(windows.items()):
             window = self.weighted(rolled(hashes[start : start + size], min(self.words, size)))
             fingerprint, total = self.fingerprint(window), sum(window.values())
-            for i in self.candidates(fingerprint):
+            for i in able.union(self.candidates(fingerprint)):
                 item = self.sets[i]
                 both = sum(min(w, item[h]) for h, w in window.items() if h in item)
-                similarity = both / (total + sum(item.values()) - both)
+                similarity = both / (total + self.totals[i] - both)
                 if similarity >= threshold - 1e-9 and (i not in best or similarity > best[i][0]):
                     best[i] = similarity, start, size, (fingerprint ^ int(self.prints[i])).bit_count()
         return [(i, start, size, d, s) for i, (s, start, size, d) in sorted(best.items())]
@@ -139,12 +182,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, wo
             for batch, texts in slices(batches, rows=512, chars=2_000_000):
                 hashes, counts = shingler.word_hashes(texts)
                 ends = np.cumsum(counts)
-                by_text: dict[int, set[tuple[int, int]]] = {}
-                for p, starts in known.hits(hashes).items():
-                    i = int(np.searchsorted(ends, p, "right"))
+                places, hit = known.hits(hashes)
+                rows_of = np.searchsorted(ends, places, "right")
+                inside = places + np.minimum(words, np.array([known.counts[x] for x in hit.tolist()], np.int64)) <= ends[rows_of]
+                order = np.flatnonzero(inside)[np.argsort(rows_of[inside], kind="stable")]
+                with_hits, first = np.unique(rows_of[order], return_index=True)
+                out = []
+                for i, at in zip(with_hits.tolist(), np.split(order, first)[1:], strict=True):
                     begin = int(ends[i] - counts[i])
-                    by_text.setdefault(i, set()).update((s - begin, item) for s, item in starts)
-                out = [(i, *m) for i, starts in sorted(by_text.items()) for m in known.matches(hashes[ends[i] - counts[i] : ends[i]], starts, threshold)]
+                    text_hashes = hashes[begin : ends[i]]
+                    out += [(i, *m) for m in known.matches(text_hashes, known.windows(text_hashes, places[at] - begin, hit[at], threshold), threshold)]
                 columns = list(zip(*out, strict=True)) if out else [[]] * 6
                 ids = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays(

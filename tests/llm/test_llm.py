@@ -281,6 +281,36 @@ def test_leaks(spark, docs, none):
     assert decontaminate.drop_leaks(docs, empty).count() == len(ROWS)
 
 
+def test_leaks_equal_brute_force_over_all_starts(spark):
+    rng = np.random.default_rng(16)
+    words = lambda n: [f"q{i}" for i in rng.integers(0, 3000, n)]
+    items = [(i, words(n)) for i, n in enumerate([100, 150, 80] + rng.integers(15, 60, 9).tolist())]
+    leaks = [(w, *x) for (_, w), x in zip(items, [(2, 4), (5, 10), (1, 3)])] + [(items[d % 12][1], int(rng.integers(0, 2)), int(rng.integers(0, 2))) for d in range(36)]
+    data = []
+    for d, (w, ends, added) in enumerate(leaks):  # ends changed or trimmed, words inserted in the middle
+        end = lambda: words(ends if d % 3 == 0 or d < 3 else 0)  # noqa: B023, E731
+        leak = [*end(), *w[ends : len(w) // 2], *words(added), *w[len(w) // 2 : len(w) - ends], *end()]
+        data.append((d, " ".join([*words(40), *leak, *words(d % 7 * 6)]), "c", 1))
+    data.append((len(data), " ".join([*items[0][1][:20], *words(30), *items[0][1], *words(100), *items[0][1][40:]]), "c", 1))
+    known = decontaminate.Items([i for i, _ in items], [" ".join(w) for _, w in items])
+    want = {}
+    for d, text, *_ in data:
+        hashes, _ = near_dups.Shingler(5).word_hashes([text])
+        for i, w in items:
+            size = min(len(w), len(hashes))
+            for start in range(len(hashes) - size + 1):
+                window, item = known.weighted(decontaminate.rolled(hashes[start : start + size], 5)), known.sets[i]
+                both = sum(min(x, item[h]) for h, x in window.items() if h in item)
+                if both and (similarity := both / (sum(window.values()) + sum(item.values()) - both)) >= 0.8:
+                    want[d, i] = max(similarity, want.get((d, i), 0.0))
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(data, SCHEMA), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    assert len(want) > 20 and {(0, 0), (1, 1), (2, 2)} <= set(want) and set(got) >= set(want) and all(got[k].similarity >= s - 1e-9 for k, s in want.items())
+    for (d, i), r in got.items():
+        window, item = known.weighted(decontaminate.rolled(near_dups.Shingler(5).word_hashes([data[d][1]])[0][r.start_word : r.start_word + r.n_words], 5)), known.sets[i]
+        both = sum(min(x, item[h]) for h, x in window.items() if h in item)
+        assert abs(both / (sum(window.values()) + sum(item.values()) - both) - r.similarity) < 1e-9 and r.similarity >= 0.8 - 1e-9
+
+
 def test_multi_index_holds_all_within_radius():
     items = decontaminate.Items(list(range(50)), [" ".join(f"w{i}_{j}" for j in range(30)) for i in range(50)])
     rng = np.random.default_rng(7)
