@@ -2,7 +2,9 @@
 
 Validated values are permuted within their own format under a key: card numbers with a valid check
 digit stay such, calendar dates stay dates, North American telephone numbers, social security
-numbers and IPv4 addresses stay valid ones, and separators stay where they are.  The permutations
+numbers and IPv4 addresses stay valid ones, and separators stay where they are.  Telephone numbers
+with +1 or brackets may have any area code and exchange; those that start with 0 or 1 are a class of
+their own, permuted within it.  The permutations
 are bijections, so equal values get equal pseudonyms in every document, different values different
 ones, and the key's holder can undo them.  E-mail addresses have their local part permuted by
 character class; the domain stays.  What doesn't validate is left alone.
@@ -25,9 +27,10 @@ PATTERNS = {
     "date": r"(?<![0-9-])(?:18|19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "ip": rf"(?<![0-9.]){_octet}(?:\.{_octet}){{3}}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![0-9])(?:(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|\([0-9]{3}\) ?)[0-9]{3}|[2-9][0-9]{2}[ .-][2-9][0-9]{2})[ .-][0-9]{4}(?![0-9])",
 }
+#: A run of digit groups of 13 digits or more, up to a group where another kind starts; cards are sought in it.
+PATTERNS["card"] = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{'|'.join(PATTERNS.values())})[0-9]++)*+"
 _letters, _digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -90,9 +93,17 @@ def _phone(x: Column, key: str) -> Column:
     lead = F.substring(d, F.lit(1), F.length(d) - 10)
     d = F.substring(d, -10, 10)
     part = lambda i, n: F.substring(d, i, n).cast("long")
-    v = feistel(((part(1, 3) - 200) * 800 + part(4, 3) - 200) * 10_000 + part(7, 4), *_number(80_000, 80_000), f"{key}|phone")
+    area, exchange = part(1, 3), part(4, 3)
+    valid = (area >= 200) & (exchange >= 200)
+    # The 360,000 other pairs: area codes under 200 with any exchange, then the others with exchanges under 200.
+    pair = F.when(valid, (area - 200) * 800 + exchange - 200).when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    side = F.when(valid, 80_000).otherwise(60_000).cast("long")
+    v = feistel(pair * 10_000 + part(7, 4), side, side, f"{key}|phone")
     div = lambda p, q: _div(p, F.lit(q).cast("long"))
-    return _poured(x, F.concat(lead, (div(v, 8_000_000) + 200).cast("string"), (div(v, 10_000) % 800 + 200).cast("string"), _padded(v % 10_000, 4)))
+    new = div(v, 10_000)
+    area = F.when(valid, div(new, 800) + 200).when(new < 200_000, div(new, 1000)).otherwise(div(new - 200_000, 200) + 200)
+    exchange = F.when(valid, new % 800 + 200).when(new < 200_000, new % 1000).otherwise((new - 200_000) % 200)
+    return _poured(x, F.concat(lead, _padded(area, 3), _padded(exchange, 3), _padded(v % 10_000, 4)))
 
 
 def _ssn(x: Column, key: str) -> Column:
@@ -140,21 +151,35 @@ def _kind(x: Column) -> Column:
         .when(whole("ssn"), F.lit("ssn"))
         .when(whole("ip"), F.lit("ip"))
         .when(whole("phone"), F.lit("phone"))
-        .when(whole("card"), F.when(luhn_sum(_only_digits(x)) % 10 == 0, F.lit("card")))
     )
 
 
+def _cards(x: Column, mark: str) -> Column:
+    """A run as parts: from each group on, the longest run of whole groups with 13 to 19 digits and a valid check digit is a card."""
+    groups = F.split(x, "(?<=[ -])")
+    joined = lambda i, n: F.array_join(F.slice(groups, i, n), "")
+
+    def valid(d: Column) -> Column:
+        return F.when(F.length(d).between(13, 19), luhn_sum(d) % 10 == 0).otherwise(False)
+
+    longest = lambda i: F.get(F.filter(F.sequence(F.least(F.lit(19), F.size(groups) - i + 1), F.lit(1), F.lit(-1)), lambda n: valid(_only_digits(joined(i, n)))), F.lit(0))
+    step = lambda s, n, i: F.when(i < s["free"], s).when(n == 0, F.struct((i + 1).alias("free"), F.concat(s["out"], joined(i, F.lit(1))).alias("out"))).otherwise(F.struct((i + n).alias("free"), F.concat(s["out"], F.lit(mark), joined(i, n), F.lit(mark)).alias("out")))
+    sizes = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: F.struct(i.alias("i"), F.coalesce(longest(i), F.lit(0)).alias("n")))
+    marked = F.aggregate(sizes, F.struct(F.lit(1).alias("free"), F.lit("").alias("out")), lambda s, g: step(s, g["n"], g["i"]), lambda s: s["out"])
+    return F.transform(F.split(marked, mark), lambda y, i: F.struct(F.when(i % 2 == 1, F.lit("card")).alias("kind"), y.alias("x")))
+
+
 def pseudonymise(docs: DataFrame, key: str = "cairn") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``n_email`` .. ``n_date`` and ``n_pii`` (long) counting the values replaced.
 
     All rows stay.  Null and empty texts stay as they are, with counts of 0.  Values at one place are
-    told apart in the order of PATTERNS; a run that fails validation is not searched for shorter ones.
+    told apart in the order of PATTERNS.  Cards are sought at the group boundaries of a run of digits.
     """
     mark, escape = "\x01", "\x02"
     text = F.coalesce(F.col("text"), F.lit(""))
     safe = F.replace(F.replace(text, F.lit(escape), F.lit(escape + "b")), F.lit(mark), F.lit(escape + "a"))
     found = F.split(F.regexp_replace(safe, "|".join(PATTERNS.values()), f"{mark}$0{mark}"), mark)
-    parts = F.when(text.rlike("[0-9@]"), F.transform(found, lambda x, i: F.struct(F.when(i % 2 == 1, _kind(x)).alias("kind"), x.alias("x"))))
+    parts = F.when(text.rlike("[0-9@]"), F.flatten(F.transform(found, lambda x, i: F.when((i % 2 == 1) & x.rlike(f"^(?:{PATTERNS['card']})$"), _cards(x, mark)).otherwise(F.array(F.struct(F.when(i % 2 == 1, _kind(x)).alias("kind"), x.alias("x")))))))
     change = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
 
     def new(p: Column) -> Column:

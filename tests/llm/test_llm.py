@@ -379,6 +379,34 @@ def test_pseudonyms(spark, docs, none):
     assert rows(pii.pseudonymise(docs), *docs.columns) == rows(docs, *docs.columns) and pii.pseudonymise(none).count() == 0
 
 
+def test_phones_of_any_area_code(spark):
+    numbers = [f"+1 ({a:03}) {e}-7713" for a in range(200) for e in ("000", "555")] + ["(017) 555-7713", "+1-017-155-7713", "+1 (755) 017-7713", "(999) 199 0000", "773-555-3030"]
+    got = pii.pseudonymise(spark.createDataFrame([(i, f"call {v}.") for i, v in enumerate(numbers)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(r.n_phone == r.n_pii == 1 for r in got)
+    new = [r.text[5:-1] for r in got]
+    assert all(re.sub("[0-9]", "0", a.removeprefix("+1")) == re.sub("[0-9]", "0", b.removeprefix("+1")) and a != b for a, b in zip(numbers, new, strict=True))
+    digits = lambda v: re.sub("[^0-9]", "", v)[-10:]
+    assert len({digits(v) for v in new}) == len({digits(v) for v in numbers})
+    assert all((min(digits(a)[0], digits(a)[3]) < "2") == (min(digits(b)[0], digits(b)[3]) < "2") for a, b in zip(numbers, new, strict=True))
+    assert digits(new[numbers.index("+1 (017) 555-7713")]) == digits(new[numbers.index("(017) 555-7713")])
+
+
+def test_cards_beside_other_numbers(spark):
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    cases = [(f"{card} 123", 1), (f"{card} 12/27", 1), (f"7 {card}", 1), ("4111111111111111 09-2027", 1), (f"{card} {other}", 2), (f"1234 5678 9012 {card} 99", 1), (f"12 {card} 35 {other} 56", 2), ("4111 1111 1111 1112 123", 0), ("1" * 20, 0)]
+    mixed = [(f"{card} 123-45-6789", "ssn"), (f"{card} 2024-02-29", "date"), (f"{card} 10.0.255.1", "ip"), (f"{card} 773-555-3030", "phone"), (f"{card} 99@mail.example.com", "email")]
+    data = [*cases, *mixed]
+    got = pii.pseudonymise(spark.createDataFrame([(i, v) for i, (v, _) in enumerate(data)], "doc_id long, text string")).orderBy("doc_id").collect()
+    one = pii.pseudonymise(spark.createDataFrame([(0, card), (1, other)], "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, (v, n) in zip(got, cases, strict=False):
+        want = v
+        for old, p in ((card, one[0].text), (card.replace(" ", ""), one[0].text.replace(" ", "")), (other, one[1].text)):
+            want = want.replace(old, p)
+        assert r.n_card == r.n_pii == n and r.text == want
+    for r, (v, kind) in zip(got[len(cases) :], mixed, strict=True):
+        assert r.n_card == r[f"n_{kind}"] == 1 and r.n_pii == 2 and r.text.startswith(one[0].text) and r.text != one[0].text + v[len(card) :]
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
