@@ -160,7 +160,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, m: int = 4, scale
     every = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)))
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<long>")))
     first = stage(every.join(salted(q_blocks), ["q", "salt"]).select("ids", "data", "width", "q_ids", "q_data", "q_width").mapInArrow(_phase(k, m, False), FOUND), "gathered")
-    owner = q_blocks.select("q", "q_ids").mapInArrow(_owners, "q int, query_id long")
+    owner = q_blocks.select("q", "q_ids").mapInArrow(_owners, "q int, query_id long").distinct()  # a repeated query id has several rows
     cuts = first.join(owner, "query_id").groupBy("q").applyInPandas(_cuts(k), "q int, cut_ids binary, cuts binary")
     with_cuts = q_blocks.join(cuts, "q", "left")
     found = every.join(salted(with_cuts), ["q", "salt"]).select("ids", "data", "width", "q_ids", "q_data", "q_width", "cut_ids", "cuts").mapInArrow(_phase(k, m, True), FOUND)

@@ -202,6 +202,22 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("equal", [True, False])
+def test_top_k_of_a_repeated_query_id_equals_sql(spark, tmp_path, equal):
+    import duckdb
+
+    from cairn.llm.registry import OP6_SQL
+
+    rng = np.random.default_rng(17)
+    data = [(i, rng.normal(0, 0.3, 8).astype("f4").tolist()) for i in range(300)]
+    data += [(100, data[100][1] if equal else data[7][1]) for _ in range(2)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").coalesce(1)
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert rows(topk.op6_exact_top_k(spark, str(tmp_path)), "query_id", "rank", "vec_id", "score") == collections.Counter(con.execute(OP6_SQL).fetchall())
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     vocabulary, data = np.array([f"w{i}" for i in range(3000)]), []
