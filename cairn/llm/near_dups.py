@@ -6,7 +6,8 @@
    functions the shingle with the least ICWS key (S. Ioffe, 2010).  Two documents share a sample
    with a probability equal to their weighted Jaccard similarity.  Samples are banded.
 3. Equal texts are one node.  In a small bucket every pair is a candidate; in a large one each node
-   is paired with the bucket's hub, the member with the largest buckets in all.  Candidates are
+   is paired with the bucket's hub, the member with the largest buckets in all; a hub's partners are
+   dealt over salts, and each salt is sent its text once.  Candidates are
    verified by the weighted Jaccard similarity of their whole shingle sets, and classes are the
    connected components of verified links.
 4. Members of a large bucket outside its hub's class are compared with all of the bucket, block
@@ -26,15 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import free_name, named, release, slices, stage, table, unstage
 
 FEATURES, RANGE = 1 << 18, 1 << 12
 WORDS = 5
-NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 _mixer = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,25 +192,23 @@ def _signatures(words: int, bands: int, rows: int, shared):
 
 
 def _similar(words: int, threshold: float, shared):
-    """(a, b, text_a, text_b), rows with one a in a row, to verified (a, b)."""
+    """Rows (a, salt, b, text), one node ``a`` and salt after another and first the row of a itself, with a null b; to verified (a, b)."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, weight, last = Shingler(words), shared.value, (None, None)
-
-        def weighted(s: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            return s[0], weight[(s[0] >> np.uint64(46)).astype(np.int64)].astype(np.float64) * s[1]
-
-        for batch, texts in slices(batches, text="text_b", rows=256, chars=1_000_000):
+        shingler, weight, held = Shingler(words), shared.value, None
+        for batch, texts in slices(batches, rows=256, chars=1_000_000):
             good = []
-            for i, (a, set_b) in enumerate(zip(batch.column(0).to_pylist(), shingler.shingles(texts), strict=True)):
-                if a != last[0]:
-                    last = a, weighted(shingler.shingles([batch.column(2)[i].as_py()])[0])
-                (ha, wa), (hb, wb) = last[1], weighted(set_b)
-                _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                both = np.minimum(wa[ia], wb[ib]).sum()
-                good.append(both >= (threshold - 1e-9) * (wa.sum() + wb.sum() - both) and both > 0)
+            for b, (h, n) in zip(batch.column(2).to_pylist(), shingler.shingles(texts), strict=True):
+                w = weight[(h >> np.uint64(46)).astype(np.int64)].astype(np.float64) * n
+                if b is None:
+                    held = h, w
+                    good.append(False)
+                    continue
+                _, ia, ib = np.intersect1d(held[0], h, assume_unique=True, return_indices=True)
+                both = np.minimum(held[1][ia], w[ib]).sum()
+                good.append(both >= (threshold - 1e-9) * (held[1].sum() + w.sum() - both) and both > 0)
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(2).filter(mask)], ["a", "b"])
 
     return verify
 
@@ -298,47 +295,50 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), "label").union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, bands: int = 16, rows: int = 4, strength: float = 0.25, small: int = 8) -> DataFrame:
-    """(doc_id, class_id, n_class) for every row of ``docs`` (doc_id, text); ``class_id`` is the class's least doc_id.
+def _node() -> Column:
+    """Equal texts, and only those, are one node; null texts are empty."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
-    Null texts are empty.  Equal texts are in one class whatever their length, all empty texts in
-    one too.  Rows of null doc_id are in classes like others; a class of nothing but those has a null class_id.
-    """
+
+def _classes(docs: DataFrame, threshold: float, words: int, bands: int, rows: int, strength: float, small: int, salted: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of all rows, and (node, rep, n, label) of all nodes: least doc_id, number of rows and class."""
     spark = docs.sparkSession
-    docs = named(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    shared = spark.sparkContext.broadcast(weights(docs, words, strength))  # of a fixed size, 1 MB
-    with_node = docs.select("doc_id", F.unhex(F.md5("text")).alias("node"), "text")
+    with_node = named(docs, doc_id="doc_id", text="text").select("doc_id", _node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    shared = spark.sparkContext.broadcast(weights(with_node, words, strength))  # of a fixed size, 1 MB
     signed = stage(with_node.mapInArrow(_signatures(words, bands, rows, shared), "doc_id long, node binary, keys array<long>"), "signatures")
     nodes = stage(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys")), "nodes")
     entries = nodes.select("node", F.explode("keys").alias("key"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    held = stage(entries.join(sizes, "key"), "entries")
-    popular = held.groupBy("node").agg(F.sum("size").alias("pop"))
-    held = stage(held.join(popular, "node"), "members")
+    sized = stage(entries.join(sizes, "key"), "entries")
+    popular = sized.groupBy("node").agg(F.sum("size").alias("pop"))
+    held = stage(sized.join(popular, "node"), "members")
+    unstage(sized)
     few, many = held.filter(F.col("size") <= small), held.filter(F.col("size") > small)
-    hub_of = lambda m: m.groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("hub"))
-    ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     x, y = few.select("key", F.col("node").alias("x")), few.select("key", F.col("node").alias("y"))
-    pairs = x.join(y, "key").filter("x < y").select(*ordered(F.col("x"), F.col("y")))
-    star = lambda m: m.join(hub_of(m), "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    pairs = x.join(y, "key").filter("x < y").select(F.col("y").alias("a"), F.col("x").alias("b"), F.lit(0).cast("long").alias("size"))
+    hubs = many.groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("hub"))
+    star = many.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "size")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """(node, text) of the wanted nodes, each from one row of the class's least doc_id."""
-        reps = nodes.select("node", F.col("rep").alias("doc_id")).join(wanted.distinct(), "node", "left_semi")
-        keyed = with_node.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-        return keyed.join(reps.select("node", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")), ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        """(node, text) of the wanted nodes, each from a row of its least doc_id."""
+        reps = nodes.select("node", "rep").join(wanted.distinct(), "node", "left_semi").select(F.col("node").alias("of"), "rep")
+        same = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+        return with_node.join(reps, same, "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
     def verified(found: DataFrame) -> DataFrame:
-        """Those of the found pairs that are similar."""
-        found = stage(found.distinct(), "pairs")
+        """Those of the found pairs that are similar.  A hub's partners are dealt over salts, and its text goes to each salt once."""
+        found = stage(found.groupBy("a", "b").agg(F.max("size").alias("size")), "pairs")
+        salt = F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("size") / salted), F.lit(1)))
+        dealt = found.select("a", salt.alias("salt"), "b")
         texts = stage(texts_of(found.select(F.explode(F.array("a", "b")).alias("node"))), "texts")
-        both = found.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        links = stage(both.mapInArrow(_similar(words, threshold, shared), "a binary, b binary"), "links")
+        heads = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+        rest = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
+        ordered = heads.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        links = stage(ordered.mapInArrow(_similar(words, threshold, shared), "a binary, b binary"), "links")
         unstage(texts, found)
         return links
 
-    links = verified(pairs.union(star(many)))
+    links = verified(pairs.union(star))
     labels = stage(components(links), "labels")
     labelled = lambda m: m.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -347,31 +347,58 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = WORDS,
     home = m.groupBy("key").agg(F.max_by("label", F.struct("pop", "node")).alias("home"), F.count("*").alias("n"))
     apart = stage(m.join(home, "key").filter("label <> home").select("key", "node", "label", "n"), "apart")
     if apart.take(1):
-        counts = apart.groupBy("key").agg(F.ceil(F.count("*") / 256).alias("n_left"), F.ceil(F.max("n") / 512).alias("n_right"))
+        counts = apart.groupBy("key").agg(F.ceil(F.count("*") / 128).alias("n_left"), F.ceil(F.max("n") / 256).alias("n_right"))
         members = m.join(counts, "key").select("key", "node", "label", "n_left", "n_right")
         lone = apart.join(counts, "key").select("key", "node", "label", "n_left", "n_right")
         elements = stage(texts_of(members.select("node")).mapInArrow(_elements(words), "node binary, elements binary"), "elements")
-        deal = lambda x, own, other, n_own, n_other: x.withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))).join(elements, "node").select(*[F.col(c).alias(c) for c in ("key", "i", "j", "node", "label", "elements")])
+
+        def deal(x: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+            """Each row in its own block, once for every block of the other side."""
+            dealt = x.withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)))
+            names = ("key", "i", "j", "node", "label", "elements")
+            return dealt.join(elements, "node").select(*[F.col(c).alias(c) for c in names])  # new columns: both sides hold the same tables
+
         left, right = deal(lone, "i", "j", "n_left", "n_right"), deal(members, "j", "i", "n_right", "n_left")
         more = stage(left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(_blocks(threshold, shared), "a binary, b binary"), "links")
-        unstage(elements)
+        first = labels
         labels = stage(components(links.union(more)), "labels")
+        unstage(elements, more, first)
+    unstage(apart, links, held)
+    return signed.select("doc_id", "node"), labelled(nodes.select("node", "rep", "n"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, bands: int = 16, rows: int = 4, strength: float = 0.25, small: int = 8, salted: int = 512) -> DataFrame:
+    """(doc_id, class_id, n_class) for every row of ``docs`` (doc_id, text); ``class_id`` is the class's least doc_id.
 
-    node_label = labelled(nodes.select("node", "rep", "n"))
+    Null texts are empty.  Equal texts are in one class whatever their length, all empty texts in
+    one too.  Rows of null doc_id are in classes like others; a class of nothing but those has a null
+    class_id.  Rows of one doc_id and different texts are each in the class of their own text.
+    """
+    signed, node_label = _classes(docs, threshold, words, bands, rows, strength, small, salted)
     classes = node_label.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_class"))
     by_node = node_label.join(classes, "label").select("node", "class_id", "n_class")
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "n_class")
+    return signed.join(by_node, "node").select("doc_id", "class_id", "n_class")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: that of the class's least doc_id; repeated rows of it count once.  Rows of null doc_id stay."""
-    classes = near_duplicates(docs, **options)
-    first = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    alone = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    n = free_name(docs, "n")
-    return kept.withColumn(n, F.row_number().over(alone)).filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter("doc_id is null"))
+def keep_one(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, bands: int = 16, rows: int = 4, strength: float = 0.25, small: int = 8, salted: int = 512) -> DataFrame:
+    """``docs`` with one row of each class, whatever its ids: a row of the class's least doc_id (nulls last), and there of the least node.
+
+    Of rows that agree in doc_id and text one stays, by a hash of its columns.
+    """
+    signed, node_label = _classes(docs, threshold, words, bands, rows, strength, small, salted)
+    least = node_label.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("m")).select(F.col("m.rep").alias("rep"), F.col("m.node").alias("of"))
+    own, of, rep, n = (free_name(docs, x) for x in ("own_node", "of_node", "of_id", "n_rows"))
+    same = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    chosen = stage(signed.join(least, same).groupBy("of", "rep").agg(F.count("*").alias("n")), "chosen").select(F.col("of").alias(of), F.col("rep").alias(rep), F.col("n").alias(n))
+    keyed = docs.withColumn(own, _node())
+    same = (F.col(own) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(rep))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    single = keyed.join(chosen.filter(F.col(n) == 1), same, "left_semi").select(*names)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    again = keyed.join(chosen.filter(F.col(n) > 1), same, "left_semi").groupBy(own).agg(F.min_by(F.struct(*names), F.xxhash64(*hashed)).alias(n))
+    return single.union(again.select(f"{n}.*"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document of whole ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents"))

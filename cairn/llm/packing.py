@@ -7,7 +7,9 @@
    merged into fewer ones, and rounds repeat until one bounded group is left or rounds gain nothing.
 
 Texts are read once.  Rounds move only (bin, fill) rows; a piece's final place is its place in its
-bin plus its bins' places, joined back at the end.  No task holds more than ``chunk`` items.
+bin plus its bins' places, joined back at the end.  No task holds more than ``chunk`` items and a
+batch at a time.  Rounds end when one removes less than a hundredth of the underfull bins that it was
+given: that is what they may cost in sequences, besides what best-fit itself does.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_bpe, named, slices, stage, table, with_end
+from .common import byte_bpe, free_name, named, slices, stage, table, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -74,7 +76,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, tokeni
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def _local(capacity: int, chunk: int):
+def _local(capacity: int, chunk: int, names: tuple[str, str, str]):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held, n = TaskContext.get().partitionId(), 0, [], 0
 
@@ -82,7 +84,7 @@ def _local(capacity: int, chunk: int):
             nonlocal made
             rows = pa.Table.from_batches(held)
             bins, offsets, fills = best_fit(rows["length"].to_numpy(), capacity)
-            for name, values in (("offset", offsets), ("bin", (task << 40) + made + bins), ("fill", fills[bins])):
+            for name, values in zip(names, (offsets, (task << 40) + made + bins, fills[bins]), strict=True):
                 rows = rows.append_column(name, pa.array(values))
             made += len(fills)
             yield from rows.to_batches(max_chunksize=10_000)
@@ -104,29 +106,41 @@ def _merge(capacity: int, level: int, chunk: int):
     """Bins as items: (bin, fill) to (bin, to, at, fill)."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, made = TaskContext.get().partitionId(), 0
-        held = list(frames)  # a group is bounded by its number of bins
-        rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame({"bin": [], "fill": []}, dtype="int64")
-        rows = rows.sort_values(["fill", "bin"], ascending=[False, True], ignore_index=True)
-        for i in range(0, len(rows), chunk):
-            part = rows.iloc[i : i + chunk].reset_index(drop=True)
-            bins, at, fills = best_fit(part["fill"].to_numpy(), capacity)
-            yield pd.DataFrame({"bin": part["bin"], "to": -((level << 56) + (task << 40) + made + bins + 1), "at": at, "fill": fills[bins]})
+        task, made, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal made
+            rows = pd.concat(held, ignore_index=True).sort_values(["fill", "bin"], ascending=[False, True], ignore_index=True)
+            bins, at, fills = best_fit(rows["fill"].to_numpy(), capacity)
+            out = pd.DataFrame({"bin": rows["bin"], "to": -((level << 56) + (task << 40) + made + bins + 1), "at": at, "fill": fills[bins]})
             made += len(fills)
+            return out
+
+        for frame in frames:
+            for i in range(0, len(frame), chunk):
+                held.append(frame.iloc[i : i + chunk])
+                n += len(held[-1])
+                if n >= chunk:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
 
     return pack
 
 
 def pack_best_fit(pieces_df: DataFrame, capacity: int = 1024, chunk: int = 200_000, fan_in: int = 8) -> DataFrame:
-    """Pack rows with a ``length`` of 1..capacity; adds ``sequence_id`` and ``offset`` (gapless from 0 in each sequence).
+    """Pack rows with a ``length`` of 1..capacity; adds ``sequence_id`` and ``offset`` (gapless from 0 in each sequence), in place of columns so named.
 
     An empty input gives an empty result.  Rows of length 0 can't occur in :func:`pieces` with an
     end id; without one, empty texts have no piece.  Repeated rows are packed like any others.
     """
-    names = [c for c in pieces_df.columns if c != "fill"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces_df.schema if f.name in names)
-    placed = stage(pieces_df.select(*names).mapInArrow(_local(capacity, chunk), f"{kinds}, offset long, bin long, fill long"), "bins")
-    bins = placed.filter((F.col("offset") == 0) & (F.col("fill") < capacity)).select("bin", "fill")
+    names = [c for c in pieces_df.columns if c.lower() not in ("sequence_id", "offset")]
+    kept = pieces_df.select(*[F.col(f"`{c}`") for c in names])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    own = offset, bin_, fill = tuple(free_name(kept, x) for x in ("own_offset", "own_bin", "own_fill"))
+    placed = stage(kept.mapInArrow(_local(capacity, chunk, own), ", ".join([kinds, *(f"`{x}` long" for x in own)])), "bins")
+    bins = placed.filter((F.col(offset) == 0) & (F.col(fill) < capacity)).select(F.col(bin_).alias("bin"), F.col(fill).alias("fill"))
     moves: list[DataFrame] = []
     groups = None
     while True:
@@ -137,21 +151,26 @@ def pack_best_fit(pieces_df: DataFrame, capacity: int = 1024, chunk: int = 200_0
         last = groups == 1
         want = max(1, -(-n // chunk))
         groups = want if groups is None else max(1, min(want, groups // fan_in))
-        groups = max(groups, -(-n // (4 * chunk)))
-        move = stage(bins.repartition(groups, F.xxhash64("bin", F.lit(len(moves)))).mapInPandas(_merge(capacity, len(moves) + 1, chunk), "bin long, to long, at long, fill long"), "merge")
+        groups = max(groups, -(-n // chunk))
+        dealt = bins.repartition(groups, F.xxhash64("bin", F.lit(len(moves))))
+        move = stage(dealt.mapInPandas(_merge(capacity, len(moves) + 1, chunk), "bin long, to long, at long, fill long"), "merge")
         moves.append(move)
         merged = move.filter(F.col("at") == 0).select(F.col("to").alias("bin"), "fill")
         left = merged.count()
         if groups == 1 or last or left > 0.99 * n:
             break
         bins = merged
+    columns = [F.col(f"`{c}`") for c in names]
     if not moves:
-        return placed.select(*names, F.col("bin").alias("sequence_id"), "offset")
+        return placed.select(*columns, F.col(bin_).alias("sequence_id"), F.col(offset).alias("offset"))
     path = moves[-1].select("bin", "to", "at")
     for move in reversed(moves[:-1]):
         later = path.select(F.col("bin").alias("to"), F.col("to").alias("final"), F.col("at").alias("more"))
         path = move.join(later, "to", "left").select("bin", F.coalesce("final", "to").alias("to"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at"))
-    return placed.join(path, "bin", "left").select(*names, F.coalesce("to", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset"))
+    to, at = free_name(placed, "to_bin"), free_name(placed, "to_place")
+    path = path.select(F.col("bin").alias(bin_), F.col("to").alias(to), F.col("at").alias(at))
+    place = F.col(offset) + F.coalesce(F.col(at), F.lit(0))
+    return placed.join(path, bin_, "left").select(*columns, F.coalesce(to, bin_).alias("sequence_id"), place.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, tokenizer: str | None = None, chunk: int = 200_000, cache_words: int = 600_000) -> DataFrame:
@@ -164,4 +183,5 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document of whole ``documents``, with its sequence and place."""
     return pack_documents(table(spark, sf_dir, "documents"))

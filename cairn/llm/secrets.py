@@ -2,7 +2,8 @@
 
 Strong kinds are reported wherever they stand.  Weak candidates (a user or client name in an
 assignment, an endpoint, a random-looking token) say little alone: they are reported only when
-complementary parts stand within the same scope of ``scope`` code points.  A document's spans are
+complementary parts stand within the same scope of ``scope`` code points; one that a strong span holds
+whole has been reported with it, one that only overlaps or holds a strong span has not.  A document's spans are
 joined by interval in one sweep over sorted starts, so no pair of spans is ever enumerated:
 
 * a weak identifier counts when a secret (strong or weak) is in scope;
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,12 +57,11 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int = 200)
         weak += [(m.start(), 4, m.end()) for m in _key.finditer(text) if _mixed(m[0])]
     if not weak:
         return []
-    taken = [(a, b) for a, _, b in base]
-    starts = [a for a, _ in taken]
+    starts, furthest = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
 
-    def inside(a: int, b: int) -> bool:  # of a strong span: it has been reported
-        i = bisect_right(starts, b - 1) - 1
-        return any(x < b and y > a for x, y in taken[max(0, i - 3) : i + 1])
+    def inside(a: int, b: int) -> bool:  # whole in a strong span, which has been reported
+        i = bisect_right(starts, a) - 1
+        return i >= 0 and furthest[i] >= b
 
     weak = [w for w in weak if not inside(w[0], w[2])]
 
@@ -93,9 +94,9 @@ def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
-    """``docs`` with every found span replaced by ``[kind]`` and ``n_chars`` counted anew; all rows and columns stay.
+    """``docs`` with every found span replaced by ``[kind]`` and ``n_chars``, if there as a whole number, counted anew; all rows and columns stay.
 
-    Overlapping spans are replaced as one, under the first one's kind.
+    Overlapping spans are replaced as one, under the first one's kind.  A null text stays null, and its ``n_chars`` is null.
     """
     names = docs.columns
 
@@ -110,7 +111,12 @@ def redact_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
                         parts += [text[at:a], f"[{KINDS[k]}]"]
                     at = max(at, b)
                 out.append("".join([*parts, text[at:]]) if given else None)
-            columns = [pa.array(out, pa.string()) if n == "text" else pa.array([None if x is None else len(x) for x in out], pa.int64()) if n == "n_chars" else batch.column(i) for i, n in enumerate(names)]
+            columns = list(batch.columns)
+            for i, (name, kind) in enumerate(zip(names, batch.schema.types, strict=True)):
+                if name == "text":
+                    columns[i] = pa.array(out, pa.string())
+                elif name == "n_chars" and pa.types.is_integer(kind):
+                    columns[i] = pa.array([None if x is None else len(x) for x in out], kind)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(cut, docs.schema)

@@ -84,6 +84,22 @@ class Segment:
             i = int(rank[block]) + int(_set_bits[bitmap[block * STRIDE // 8 : byte]].sum()) + bin(bitmap[byte] & ((1 << bit) - 1)).count("1")
         return value
 
+    def tokens_at(self, at: np.ndarray) -> np.ndarray:
+        """The ids at any places, in any order, by one rank a level for each."""
+        out, row, at = np.zeros(len(at), np.uint32), np.arange(len(at)), np.asarray(at, np.int64)
+        for j, (chunks, bitmap, rank) in enumerate(self.levels):
+            out[row] |= chunks[at].astype(np.uint32) << np.uint32(self.bits * j)
+            on = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            row, at = row[on], at[on]
+            if not len(at):
+                break
+            block, byte = at // STRIDE, at >> 3
+            own = block[:, None] * (STRIDE // 8) + np.arange(STRIDE // 8)
+            before = np.where(own < byte[:, None], _set_bits[bitmap[np.minimum(own, len(bitmap) - 1)]], 0).sum(1, dtype=np.int64)
+            part = _set_bits[bitmap[byte] & ((1 << (at & 7)) - 1).astype(np.uint8)]
+            at = rank[block].astype(np.int64) + before + part
+        return out
+
     def tokens(self) -> np.ndarray:
         """All ids."""
         chunks, _, _ = self.levels[0]
@@ -95,7 +111,11 @@ class Segment:
 
 
 def encode_documents(docs: DataFrame, end_id: int | None = 2, tokenizer: str | None = None, bits: int = 8, segment_tokens: int = 1 << 17) -> DataFrame:
-    """Segments of every row of ``docs`` (doc_id, text), in ascending doc_id order (nulls first, ties by text hash)."""
+    """Segments of every row of ``docs`` (doc_id, text), in ascending order of doc_id, nulls first; rows of one id by the text's hash and then the text.
+
+    Null and empty texts have the end id alone (without one, no id at all).  A document is in one
+    segment, however long: segments close at the first document's end at ``segment_tokens`` ids or more.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = byte_bpe(tokenizer, 900_000), TaskContext.get().partitionId()
@@ -125,11 +145,24 @@ def encode_documents(docs: DataFrame, end_id: int | None = 2, tokenizer: str | N
             yield flush()
 
     named_docs = named(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return named_docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id").mapInArrow(encode, SEGMENTS)
+    by = ("doc_id", F.xxhash64("text"))
+    return named_docs.repartitionByRange(*by).sortWithinPartitions(*by, "text").mapInArrow(encode, SEGMENTS)
+
+
+def _placed(segments: DataFrame) -> DataFrame:
+    """``segments`` with ``base``, the number of ids before the segment in the whole table."""
+    # One row for each part, of which there are no more than a shuffle has partitions: small at any size.
+    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))
+    return segments.join(F.broadcast(base), "part").withColumn("base", F.col("part_base") + F.col("before"))
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of the documents in a segment table; ``start`` counts the ids of all documents before."""
+    """(doc_id, start, n_tokens, ids_crc32) of the documents in a segment table; ``start`` counts the ids of all documents before.
+
+    A row for each document written, in no order of rows; an empty table gives none.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +172,46 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # One row for each part, of which there are no more than a shuffle has partitions: small at any size.
-    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    base = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return segments.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("base"), "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(segments).select("base", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_tokens(segments: DataFrame, positions: DataFrame, cell: int = 1 << 17, dealt: int = 1_000_000) -> DataFrame:
+    """(position, token) of each row of ``positions`` (position): the id at that place in the whole table, without decoding others.
+
+    Rows with a null position or one outside the table are left out; repeated ones each have a row.
+    Positions meet segments on cells of ``cell`` ids; a segment goes once to every ``dealt`` positions in it.
+    """
+    placed = _placed(segments)
+    ranges = placed.filter("n_tokens > 0").select("part", "segment", "base", (F.col("base") + F.col("n_tokens")).alias("end"))
+    cells = F.sequence(F.floor(F.col("base") / cell), F.floor((F.col("end") - 1) / cell))
+    wanted = named(positions, position="position").filter("position is not null").withColumn("cell", F.floor(F.col("position") / cell))
+    found = wanted.join(ranges.withColumn("cell", F.explode(cells)), "cell").filter("position >= base and position < end")
+    found = stage(found.select("part", "segment", "position", (F.col("position") - F.col("base")).alias("at")), "positions")
+    salts = found.groupBy("part", "segment").agg(F.ceil(F.count("*") / dealt).alias("salts"))
+    salted = found.join(salts, ["part", "segment"]).withColumn("salt", F.pmod(F.xxhash64("position"), F.col("salts")))
+    heads = segments.join(salts, ["part", "segment"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    nothing = F.lit(None).cast("long")
+    heads = heads.select("part", "segment", "salt", nothing.alias("position"), nothing.alias("at"), "data")
+    rows = salted.select("part", "segment", "salt", "position", "at", F.lit(None).cast("binary").alias("data"))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = np.flatnonzero(np.asarray(batch.column(2).is_valid()))
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                first = a
+                if a < b and batch.column(2)[a].is_valid:
+                    held, first = Segment(batch.column(2)[a].as_py()), a + 1
+                if first < b:
+                    part = batch.slice(first, b - first)
+                    got = held.tokens_at(part.column(1).to_numpy())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.astype(np.int64))], ["position", "token"])
+
+    by = ("part", "segment", "salt")
+    ordered = heads.union(rows).repartition(*by).sortWithinPartitions(*by, F.col("at").asc_nulls_first())
+    return ordered.select("position", "at", "data").mapInArrow(look_up, "position long, token long")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` written as segments and read back: the place, length and checksum of each."""
     return read_documents(stage(encode_documents(table(spark, sf_dir, "documents")), "segments"))
