@@ -1,4 +1,5 @@
 import collections
+import datetime
 import hashlib
 import re
 import zlib
@@ -438,7 +439,9 @@ def test_chat(spark):
     data = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|end|> no"), (1, 70, "ann", None), (1, 70, "ann", None), (2, None, None, "x"), (3, 0, "system", "alone"), (None, 1, "z", "é")]
     df = spark.createDataFrame([(*r, "clash") for r in data], "conv_id long, turn long, role string, text string, speaker string")
     got = {(r.conv_id, r.speaker, r.part): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (2, "unknown", -1), (None, "z", 0)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (None, "z", 0)} and got[1, "ann", 0].n_rows == 5
+    got = {(r.conv_id, r.speaker, r.part): r for r in chat.rotate(df, turns_per_part=3).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (2, "unknown", 0), (None, "z", 0)}
     r = got[1, "ann", 0]
     assert r.text == "<|system|>\nbe nice<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n< |end|> no<|end|>\n"
     assert [r.text[m.start : m.end] for m in r["mask"]] == ["hi<|end|>"] and got[1, "ann", 1].part_start == len(r.text)
@@ -446,6 +449,23 @@ def test_chat(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_parts_of_a_turn_number_that_all_rows_have(spark):
+    data = [(c, t, f"s{i % 3}", f"word {i % 90}") for c in (None, 1) for t in (None, 4) for i in range(300)]
+    got = chat.rotate(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3), turns_per_part=7, parts_per_range=5).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.conv_id, r.speaker].append(r)
+    assert set(by) == {(c, f"s{i}") for c in (None, 1) for i in range(3)}
+    want = sorted({(-1 if t is None else t, w, x) for _, t, w, x in data})
+    for (_, me), parts in by.items():
+        parts.sort(key=lambda r: r.part)
+        assert [r.part for r in parts] == list(range(-(-len(want) // 7))) and sum(r.n_rows for r in parts) == 600 and max(r.n_turns for r in parts) == 7
+        whole = "".join(r.text for r in parts)
+        assert whole == "".join(("<|assistant|>" if w == me else f"<|user name={w}|>") + f"\n{x}<|end|>\n" for _, w, x in want)
+        assert [r.part_start for r in parts] == [sum(len(p.text) for p in parts[:i]) for i in range(len(parts))]
+        assert [r.text[m.start : m.end] for r in parts for m in r["mask"]] == [f"{x}<|end|>" for _, w, x in want if w == me]
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(c)] for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -473,10 +493,146 @@ def test_filters_keep_columns_named_like_their_own(spark):
     assert toxicity.drop_toxic(df, model, 0.0).count() == 0
 
 
+KEY = "a key of tests"
+
+
+class Pseudonyms:
+    """The same permutations in plain Python, value by value."""
+
+    FORMS = {
+        r"\d{4}-": "%Y-%m-%d", r"\d{4}/": "%Y/%m/%d", r"\d{4}\.": "%Y.%m.%d", r"\d{2}\.": "%d.%m.%Y", "(0[1-9]|1[0-2])/": "%m/%d/%Y", r"\d{2}/": "%d/%m/%Y",
+        "[A-Za-z]{3} ": "%b {d}, %Y", "[A-Za-z]+ ": "%B {d}, %Y", r"\d+ [A-Za-z]{3} ": "{d} %b %Y", r"\d+ ": "{d} %B %Y",
+    }
+
+    def hash(self, key, i, other):
+        return int(hashlib.md5(f"{key}|{i}|{other}".encode()).hexdigest()[:15], 16)
+
+    def feistel(self, v, a, b, key):
+        x, y = divmod(v, b)
+        for i in range(1, 9):
+            if i % 2:
+                x = (x + self.hash(key, i, y) % a) % a
+            else:
+                y = (y + self.hash(key, i, x) % b) % b
+        return x * b + y
+
+    def pour(self, x, new, kind=r"[0-9]"):
+        chars = iter(new)
+        return "".join(next(chars) if re.fullmatch(kind, c) else c for c in x)
+
+    def date(self, x):
+        form = next(f for k, f in self.FORMS.items() if re.match(k, x))
+        try:
+            n = (datetime.datetime.strptime(x, form.replace("{d}", "%d")).date() - datetime.date(1800, 1, 1)).days
+        except ValueError:
+            return None
+        while True:
+            n = self.feistel(n, 189, 773, f"{KEY}|date")
+            new = datetime.date(1800, 1, 1) + datetime.timedelta(n)
+            if form != "%d/%m/%Y" or new.day > 12:
+                return new.strftime(form.replace("{d}", str(new.day)))
+
+    def email(self, x):
+        local, domain = x.split("@", 1)
+        chars, key = re.sub("[^A-Za-z0-9]", "", local), f"{KEY}|email"
+        first = lambda c: (97, 26) if c.islower() else (65, 26) if c.isupper() else (48, 10)
+        if len(chars) == 1:
+            at, size = first(chars)
+            chars = chr(at + self.feistel(ord(chars) - at, 2, size // 2, key))
+        elif chars:
+            halves = [chars[: len(chars) // 2], chars[len(chars) // 2 :]]
+            for i in range(1, 9):
+                k = (i + 1) % 2
+                part, other = halves[k], halves[1 - k]
+                bits = "".join(hashlib.sha512(f"{key}|{i}|{b}|{other}".encode()).hexdigest() for b in range(max(1, -(-len(part) // 32))))
+                halves[k] = "".join(chr(at + (ord(c) - at + int(bits[4 * j : 4 * j + 4], 16)) % size) for j, c in enumerate(part) for at, size in [first(c)])
+            chars = "".join(halves)
+        return f"{self.pour(local, chars, '[A-Za-z0-9]')}@{domain}"
+
+    def ssn(self, x):
+        area, group, serial = map(int, x.split("-"))
+        v = self.feistel(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, f"{KEY}|ssn")
+        area = v // (99 * 9999)
+        return f"{area + 1 + (area >= 665):03}-{v // 9999 % 99 + 1:02}-{v % 9999 + 1:04}"
+
+    def ip(self, x):
+        v = 0
+        for o in x.split("."):
+            v = v * 256 + int(o)
+        v = self.feistel(v, 65536, 65536, f"{KEY}|ip")
+        return ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
+
+    def phone(self, x):
+        d = re.sub("[^0-9]", "", x)
+        pairs = [(a, e) for a in range(200, 1000) for e in range(200, 1000)] if int(d[-10:-7]) >= 200 <= int(d[-7:-4]) else [(a, e) for a in range(1000) for e in range(1000) if a < 200 or e < 200]
+        v = pairs.index((int(d[-10:-7]), int(d[-7:-4]))) * 10_000 + int(d[-4:])
+        side = 80_000 if len(pairs) == 640_000 else 60_000
+        v = self.feistel(v, side, side, f"{KEY}|phone")
+        return self.pour(x, d[:-10] + "{:03}{:03}".format(*pairs[v // 10_000]) + f"{v % 10_000:04}")
+
+    def card(self, x):
+        d = re.sub("[^0-9]", "", x)
+        n = len(d) - 2
+        body = d[0] + str(self.feistel(int(d[1:-1]), 10 ** (n // 2), 10 ** (n - n // 2), f"{KEY}|card")).zfill(n)
+        return self.pour(x, body + next(c for c in "0123456789" if luhn(body + c)))
+
+    def run(self, x, counts):
+        """Cards in a run of digit groups."""
+        groups, out, i = re.findall("[0-9]+[ -]?", x), "", 0
+        while i < len(groups):
+            sizes = [n for n in range(len(groups) - i, 0, -1) if 13 <= len(d := re.sub("[^0-9]", "", "".join(groups[i : i + n]))) <= 19 and luhn(d)]
+            part = "".join(groups[i : i + sizes[0]]) if sizes else groups[i]
+            counts["card"] += bool(sizes)
+            out, i = out + (self.card(part) if sizes else part), i + (sizes[0] if sizes else 1)
+        return out
+
+    def text(self, text):
+        counts = collections.Counter()
+
+        def new(m):
+            for kind in ("email", "date", "ssn", "ip", "phone"):
+                if re.fullmatch(pii.PATTERNS[kind], m[0]):
+                    x = getattr(self, kind)(m[0])
+                    counts[kind] += x is not None
+                    return m[0] if x is None else x
+            return self.run(m[0], counts)
+
+        return re.sub("|".join(pii.PATTERNS.values()), new, text), counts
+
+
+def test_pseudonyms_equal_plain_python(spark):
+    odd = ["a@x.com A@x.com 7@x.com _@x.com a.@x.com _a_b@x.org", "x" * 81 + "Zz09@y.example.org", "2021/03/04, 2021.03.04, 04.03.2021, 03/04/2021, 25/03/2021, 31/12/2199, 13/02/1800", "March 4, 2021; Mar 4, 2021; 4 March 2021; 04 Mar 2021; May 31, 2020, Feb 30, 2020; 29 February 2019", "29/02/2020 30/02/2020 10/31/2021 11/31/2021 /2021/03/04/ 1.2021.03.04", "\x01ann@x.com\x02 5\x02bob@x.com\x01", "+1 (017) 555-7713 and (999) 199 0000, 773-555-3030; 123-45-6789, 667-01-0001 10.0.255.1 0.0.0.0", "4111 1111 1111 1111 123, 4111111111111111 09-2027"]
+    data = [(r.doc_id, r.text) for r in common.table(spark, DATA, "documents").collect()] + [(-1 - i, t) for i, t in enumerate(odd)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(data, "doc_id long, text string").repartition(4), KEY).collect()}
+    plain, seen = Pseudonyms(), collections.Counter()
+    for d, text in data:
+        want, counts = plain.text(text or "")
+        seen += counts
+        assert (got[d].text or "") == want and {k: got[d][f"n_{k}"] for k in pii.KINDS} == {k: counts[k] for k in pii.KINDS} and got[d].n_pii == counts.total()
+    assert all(seen[k] >= 2 for k in pii.KINDS)
+
+
+def test_mail_pseudonyms_are_no_shifts_and_stay_apart(spark):
+    names = [a + b for a in "abcdefgh" for b in ("", "b", "cd", "xyz", "bcdefghij")] + list("ijklmnopqrstuvwxyz0123456789") + ["_" + a * 3 for a in "abcdef"]
+    got = pii.pseudonymise(spark.createDataFrame([(i, f"{n}@x.com") for i, n in enumerate(names)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    new = [r.text.split("@")[0] for r in got]
+    assert len(set(new)) == len(set(names)) and all(re.sub("[a-z]", "a", re.sub("[0-9]", "0", a)) == re.sub("[a-z]", "a", re.sub("[0-9]", "0", b)) for a, b in zip(names, new, strict=True))
+    gap = lambda a, b: tuple((ord(y) - ord(x)) % 26 for x, y in zip(a, b, strict=True))
+    for n in (1, 2, 3, 4, 10):  # neighbours in the alphabet don't get neighbours: shifts would keep the gap for all
+        same = [(a, b) for a, b in zip(names, new, strict=True) if len(a) == n and a.isalpha()]
+        assert sum(gap(x[0], y[0]) == gap(x[1], y[1]) for x, y in zip(same, same[1:], strict=False)) <= 1 + len(same) // 8
+    clash = spark.createDataFrame([(1, "ann@x.com", "old", 9)], "doc_id long, text string, n_email string, parts int")
+    row = pii.pseudonymise(clash, KEY).first()
+    assert row.n_email == 1 and row.parts == 9
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymise(clash, "")
+    assert pii.pseudonymise(clash, "other").first().text != row.text
+
+
 def test_pseudonyms(spark, docs, none):
     values = ["4111 1111 1111 1111", "4111111111111111", "4111111111111112", "+1 (773) 555-3030", "773-555-3030", "123-45-6789", "000-45-6789", "10.0.255.1", "10.0.256.1", "2024-02-29", "2023-02-29", "Ann.Lee9@mail.example.com"]
     df = spark.createDataFrame([(i, f"a {v}, b {v}; \x01\x02 é", "c", 1) for i, v in enumerate(values)], SCHEMA)
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, KEY).collect()}
     new = {}
     for i, v in enumerate(values):
         m = re.fullmatch(r"a (.*), b (.*); \x01\x02 é", got[i].text, re.DOTALL)
@@ -489,12 +645,12 @@ def test_pseudonyms(spark, docs, none):
     assert new["4111 1111 1111 1111"].replace(" ", "") == new["4111111111111111"] and luhn(new["4111111111111111"])
     assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", new["+1 (773) 555-3030"]) and re.fullmatch(r"\d{4}-\d\d-\d\d", new["2024-02-29"])
     assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}\d@mail\.example\.com", new["Ann.Lee9@mail.example.com"])
-    assert rows(pii.pseudonymise(docs), *docs.columns) == rows(docs, *docs.columns) and pii.pseudonymise(none).count() == 0
+    assert rows(pii.pseudonymise(docs, KEY), *docs.columns) == rows(docs, *docs.columns) and pii.pseudonymise(none, KEY).count() == 0
 
 
 def test_phones_of_any_area_code(spark):
     numbers = [f"+1 ({a:03}) {e}-7713" for a in range(200) for e in ("000", "555")] + ["(017) 555-7713", "+1-017-155-7713", "+1 (755) 017-7713", "(999) 199 0000", "773-555-3030"]
-    got = pii.pseudonymise(spark.createDataFrame([(i, f"call {v}.") for i, v in enumerate(numbers)], "doc_id long, text string")).orderBy("doc_id").collect()
+    got = pii.pseudonymise(spark.createDataFrame([(i, f"call {v}.") for i, v in enumerate(numbers)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
     assert all(r.n_phone == r.n_pii == 1 for r in got)
     new = [r.text[5:-1] for r in got]
     assert all(re.sub("[0-9]", "0", a.removeprefix("+1")) == re.sub("[0-9]", "0", b.removeprefix("+1")) and a != b for a, b in zip(numbers, new, strict=True))
@@ -509,8 +665,8 @@ def test_cards_beside_other_numbers(spark):
     cases = [(f"{card} 123", 1), (f"{card} 12/27", 1), (f"7 {card}", 1), ("4111111111111111 09-2027", 1), (f"{card} {other}", 2), (f"1234 5678 9012 {card} 99", 1), (f"12 {card} 35 {other} 56", 2), ("4111 1111 1111 1112 123", 0), ("1" * 20, 0)]
     mixed = [(f"{card} 123-45-6789", "ssn"), (f"{card} 2024-02-29", "date"), (f"{card} 10.0.255.1", "ip"), (f"{card} 773-555-3030", "phone"), (f"{card} 99@mail.example.com", "email")]
     data = [*cases, *mixed]
-    got = pii.pseudonymise(spark.createDataFrame([(i, v) for i, (v, _) in enumerate(data)], "doc_id long, text string")).orderBy("doc_id").collect()
-    one = pii.pseudonymise(spark.createDataFrame([(0, card), (1, other)], "doc_id long, text string")).orderBy("doc_id").collect()
+    got = pii.pseudonymise(spark.createDataFrame([(i, v) for i, (v, _) in enumerate(data)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    one = pii.pseudonymise(spark.createDataFrame([(0, card), (1, other)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
     for r, (v, n) in zip(got, cases, strict=False):
         want = v
         for old, p in ((card, one[0].text), (card.replace(" ", ""), one[0].text.replace(" ", "")), (other, one[1].text)):
