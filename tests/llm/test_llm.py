@@ -243,7 +243,7 @@ def test_top_k(spark):
     rows_ += [(400 + i, rows_[0][1]) for i in range(30)] + [(500, None), (501, [1.0, None] * 4), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (None, rows_[1][1]), (504, [1.0, 2.0]), (505, []), (7, rows_[9][1])]
     df = spark.createDataFrame([(a, b, "clash") for a, b in rows_], "vec_id long, embedding array<float>, ids string").repartition(5)
     got = collections.defaultdict(list)
-    for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), block=16).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), block=16, group_bytes=200).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     ok = [(i, np.floor(np.array(v, np.float64) * 1024).astype(int)) for i, v in rows_ if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     for q, e in ok:
@@ -255,6 +255,40 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_looks_at_few_blocks_of_clustered_vectors():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    class Shared:  # noqa: E301
+        def __init__(self, value):
+            self.value = value
+
+    centres = rng.normal(0, 1, (40, 32))
+    data = np.floor((centres[rng.integers(0, 40, 8000)] + rng.normal(0, 0.05, (8000, 32))) * 1024)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(8000)), pa.array((data / 1024).tolist(), pa.list_(pa.float64()))], ["vec_id", "embedding"])
+    pivots = Shared({32: data[rng.integers(0, 8000, 64)]})
+    blocks = [r for b in topk._packed(1024, 256, 4, pivots)(iter([batch])) for r in b.to_pylist()]
+    assert sum(len(topk.Block(b).ids) for b in blocks) == 8000
+    asked = np.arange(0, 8000, 100)
+    shared = Shared({32: (asked, data[asked], float(np.abs(data).max()))})
+    packed = pa.RecordBatch.from_pylist(blocks, pa.schema([(c.split()[0], {"binary": pa.binary(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in topk.ROWS.split(", ")]))
+    gathered = next(iter(topk._gather(10, 4, 2, shared)(iter([packed])))).to_pydict()
+    by = collections.defaultdict(list)
+    for q, s in zip(gathered["query_id"], gathered["score"], strict=True):
+        by[q].append(s)
+    cut = np.array([sorted(by[q])[-10] for q in asked.tolist()])
+    first = sum(len(asked) * len(topk.Block(b).ids) for b in blocks)
+    scored = sum(len(topk.able(topk.Block(b).bounds(data[asked], 4), cut)) * len(topk.Block(b).ids) for b in blocks)
+    assert scored < 0.2 * first  # pairs that phase 2 scores, of all
+    found = next(iter(topk._collect(10, 4, shared, Shared({32: cut}))(iter([packed])))).to_pydict()
+    got = collections.defaultdict(list)
+    for q, i, s in zip(found["query_id"], found["vec_id"], found["score"], strict=True):
+        got[q].append((-s, i))
+    whole = (data[asked] @ data.T).astype(np.int64)
+    for j, q in enumerate(asked.tolist()):
+        assert sorted(got[q])[:10] == sorted((-int(s), i) for i, s in enumerate(whole[j].tolist()) if i != q)[:10]
+
+
 @pytest.mark.parametrize("equal", [True, False])
 def test_top_k_of_a_repeated_query_id_equals_sql(spark, tmp_path, equal):
     import duckdb
