@@ -6,7 +6,9 @@ windows of words run through a recurrent layer in each direction; attention pool
 into one logit, and a document's score is its highest window's, calibrated to the labels' rates.
 
 Labels belong to documents, not to windows, so training alternates: the window that now scores
-highest stands for its document, the network learns from these, and windows are chosen anew.
+highest, of the eight with the most evidence, stands for its document, the network learns from these,
+and windows are chosen anew.  A document's log-odds come from other documents, and the score is
+calibrated on documents that the network hasn't learned from.
 
 The sample of labelled documents is bounded by rows and characters of each label, parameters of
 :func:`train`; its texts are whole.  Scoring covers every window of every whole text, in one pass without a shuffle.
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _Ids, free_name, named, release, slices, table, words_of
@@ -26,6 +28,7 @@ from .common import _Ids, free_name, named, release, slices, table, words_of
 T, STRIDE = 32, 16
 TABLE, EMBED, DIM, HIDDEN = 1 << 18, 1 << 12, 4, 8
 INPUTS = 2 * DIM + 3
+STEPS, DECAY, LOOKED = 100, 0.03, 8  # least steps of learning in a round, decay of learned vectors, windows of a document to choose from
 
 
 class Words:
@@ -192,68 +195,120 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> n
     return (odds * (pos + neg) / (pos + neg + 4)).astype(np.float32)
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float = 0.5, rounds: int = 3, epochs: int = 4, seed: int = 7) -> dict:
-    """Train on documents' texts and 0/1 labels; ``prior`` is the rate of label 1 to calibrate to."""
+def _odds(words: list[str], counts: np.ndarray, n_docs: np.ndarray) -> list[dict]:
+    """Log-odds tables of words and n-grams: of each fold from all others, and last of all folds.
+
+    ``counts`` is (fold, label, word), the numbers of documents; ``n_docs`` is (fold, label).
+    """
+    tables = np.zeros((2, *counts.shape[:2], TABLE), np.float32)
+    for i in range(0, len(words), 20_000):
+        word, grams, n = Words.hashes(words[i : i + 20_000])
+        part = counts[:, :, i : i + len(n)]
+        for fold, y in np.ndindex(counts.shape[:2]):
+            tables[0, fold, y] += np.bincount((word >> np.uint64(40)).astype(np.int64) % TABLE, part[fold, y], TABLE)
+            tables[1, fold, y] += np.bincount((grams >> np.uint64(40)).astype(np.int64) % TABLE, np.repeat(part[fold, y], n), TABLE)
+    whole, n_whole = tables.sum(1), n_docs.sum(0)
+    out = []
+    for fold in range(counts.shape[0] + 1):
+        rest, n = (whole, n_whole) if fold == counts.shape[0] else (whole - tables[:, fold], n_whole - n_docs[fold])
+        out.append({name: _log_odds(t[1], t[0], max(1, n[1]), max(1, n[0])) for name, t in zip(("word_odds", "gram_odds"), rest, strict=True)})
+    return out
+
+
+def fit(texts: list[str], labels: np.ndarray, prior: float = 0.5, rounds: int = 3, epochs: int = 4, folds: int = 10, seed: int = 7) -> dict:
+    """Train on documents' texts and 0/1 labels; ``prior`` is the rate of label 1 to calibrate to.
+
+    Documents are dealt over folds.  A document's log-odds come from the other folds, so that no input
+    tells the network the document's own label.  The network learns from four fifths of the folds, and
+    the score's curve is fitted to the others (to the same, if there are under two documents a fold).
+    """
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.int64)
     words, docs = Words(), []
     for text in texts:
         docs.append(words.ids(words_of(text)))
     vocabulary = list(words.memo)
-    counts = np.zeros((2, max(1, len(vocabulary))))
-    for ids, y in zip(docs, labels, strict=True):
-        counts[y, np.unique(ids)] += 1
-    word, grams, n = Words.hashes(vocabulary)
-    model = {"E_w": rng.normal(0, 0.1, (EMBED, DIM)).astype(np.float32), "E_c": rng.normal(0, 0.1, (EMBED, DIM)).astype(np.float32)}
-    n_docs = np.maximum(np.bincount(labels, minlength=2), 1)
-    by = lambda place, weight: np.stack([np.bincount(place, weight[y], TABLE) for y in (0, 1)])
-    c = by((word >> np.uint64(40)).astype(np.int64) % TABLE, counts[:, : len(vocabulary)])
-    model["word_odds"] = _log_odds(c[1], c[0], *n_docs[::-1])
-    c = by((grams >> np.uint64(40)).astype(np.int64) % TABLE, np.repeat(counts[:, : len(vocabulary)], n, axis=1))
-    model["gram_odds"] = _log_odds(c[1], c[0], *n_docs[::-1])
-    scale = lambda *s: (rng.normal(0, 1, s) / np.sqrt(s[-2] if len(s) > 1 else s[0])).astype(np.float32)
-    model |= {"W": scale(2, INPUTS, 3 * HIDDEN), "U": scale(2, HIDDEN, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), np.float32), "v": scale(2 * HIDDEN), "u": scale(2 * HIDDEN), "c": np.float32(0)}
-    model["c"] = np.zeros(1, np.float32)
-    _, w_at, c_at, fixed = Words.inputs(vocabulary, model) if vocabulary else (None, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((1, 3), np.float32))
-    ids = np.concatenate([*docs, np.zeros(0, np.int64)])
+    size_v = max(1, len(vocabulary))
+    fold = np.zeros(len(docs), np.int64)
+    for y in (0, 1):
+        of = np.flatnonzero(labels == y)
+        fold[of] = rng.permutation(len(of)) % folds
+    counts = np.zeros((folds, 2, size_v), np.float32)
+    for ids, f, y in zip(docs, fold.tolist(), labels.tolist(), strict=True):
+        counts[f, y, np.unique(ids)] += 1
+    n_docs = np.zeros((folds, 2))
+    np.add.at(n_docs, (fold, labels), 1)
+    tables = _odds(vocabulary, counts, n_docs)
+    del counts
+    w_at, c_at = (np.zeros(folds * size_v, np.int32) for _ in range(2))
+    fixed = np.zeros((folds * size_v, 3), np.float32)
+    blank = {"E_w": np.zeros((EMBED, 0), np.float32), "E_c": np.zeros((EMBED, 0), np.float32)}
+    for f in range(folds):
+        for i in range(0, len(vocabulary), 20_000):
+            part = slice(f * size_v + i, f * size_v + min(i + 20_000, len(vocabulary)))
+            _, w_at[part], c_at[part], fixed[part] = Words.inputs(vocabulary[i : i + 20_000], blank | tables[f])
+    # Words are numbered anew in each fold; windows lie in documents one after another.
+    ids = np.concatenate([*(d + f * size_v for d, f in zip(docs, fold.tolist(), strict=True)), np.zeros(0, np.int64)])
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
     starts = [windows(s) for s in sizes.tolist()]
     doc_of = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
     first = np.concatenate([s + b for s, b in zip(starts, (np.cumsum(sizes) - sizes).tolist(), strict=True)])
     size = np.minimum(T, np.cumsum(sizes)[doc_of] - first)
-    bounds = np.searchsorted(doc_of, np.arange(len(docs)))
-
-    def all_logits() -> np.ndarray:
-        x = np.concatenate([model["E_w"][w_at], model["E_c"][c_at], fixed], 1)
-        out = []
-        for i in range(0, len(first), 1024):
-            at, mask = _window_inputs(ids, first[i : i + 1024], size[i : i + 1024])
-            out.append(_forward(x[at] * mask[..., None], mask, model))
-        return np.concatenate(out)
-
+    bounds = np.searchsorted(doc_of, np.arange(len(docs) + 1))
     evidence = (fixed[:, 0] + fixed[:, 1])[ids] if len(ids) else np.zeros(0)
     running = np.concatenate([[0], np.cumsum(np.maximum(evidence, 0) ** 2)])
-    now = (running[np.minimum(first + size, len(ids))] - running[np.minimum(first, len(ids))]).astype(np.float32)
-    adam = Adam({k: model[k] for k in ("W", "U", "b", "v", "u", "c", "E_w", "E_c")}, 0.01)
-    for _ in range(rounds):
-        best = np.array([b + int(np.argmax(now[b:e])) for b, e in zip(bounds.tolist(), [*bounds[1:].tolist(), len(first)], strict=True)])
-        spare = bounds + (rng.random(len(docs)) * np.diff(np.append(bounds, len(first)))).astype(np.int64)
-        chosen = np.concatenate([best, spare[labels == 0]])
-        y = np.concatenate([labels, np.zeros(int((labels == 0).sum()), np.int64)]).astype(np.float32)
-        for _ in range(epochs):
-            for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // 128)):
-                at, mask = _window_inputs(ids, first[chosen[part]], size[chosen[part]])
-                x = np.concatenate([model["E_w"][w_at[at]], model["E_c"][c_at[at]], fixed[at]], -1) * mask[..., None]
-                logit, kept = _forward(x, mask, model, keep=True)
-                g, d_x = _backward(((_sigmoid(logit) - y[part]) / len(part)).astype(np.float32), kept, model)
-                d_x = d_x * mask[..., None]
-                g["E_w"], g["E_c"] = np.zeros_like(model["E_w"]), np.zeros_like(model["E_c"])
-                np.add.at(g["E_w"], w_at[at], d_x[..., :DIM])
-                np.add.at(g["E_c"], c_at[at], d_x[..., DIM : 2 * DIM])
-                adam.step(g)
-        now = all_logits()
-    top = np.maximum.reduceat(now, bounds) if len(docs) else np.zeros(0)
-    model["scale"] = _calibrate(top, labels, prior)
+    likely = (running[np.minimum(first + size, len(ids))] - running[np.minimum(first, len(ids))]).astype(np.float32)
+    order = np.lexsort((np.arange(len(first)), -likely, doc_of))
+    looked = np.sort(order[np.arange(len(first)) - bounds[doc_of[order]] < LOOKED])  # to learn from; scores are of all windows
+    edges = np.searchsorted(doc_of[looked], np.arange(len(docs) + 1))
+    del running, evidence, order
+
+    def inputs(p: dict, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, mask = _window_inputs(ids, first[which], size[which])
+        return np.concatenate([p["E_w"][w_at[at]], p["E_c"][c_at[at]], fixed[at]], -1) * mask[..., None], mask, at
+
+    def logits(p: dict, which: np.ndarray) -> np.ndarray:
+        out = [np.zeros(0, np.float32)]
+        for i in range(0, len(which), 1024):
+            out.append(_forward(*inputs(p, which[i : i + 1024])[:2], p))
+        return np.concatenate(out)
+
+    def network(known: np.ndarray) -> dict:
+        """A network that learns from the documents in ``known``."""
+        scale = lambda *s: (rng.normal(0, 1, s) / np.sqrt(s[-2] if len(s) > 1 else s[0])).astype(np.float32)
+        p = {"E_w": rng.normal(0, 0.1, (EMBED, DIM)).astype(np.float32), "E_c": rng.normal(0, 0.1, (EMBED, DIM)).astype(np.float32)}
+        p |= {"W": scale(2, INPUTS, 3 * HIDDEN), "U": scale(2, HIDDEN, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), np.float32)}
+        p |= {"v": scale(2 * HIDDEN), "u": scale(2 * HIDDEN), "c": np.zeros(1, np.float32)}
+        adam, now = Adam(p, 0.01), likely[looked]
+        clean = known[labels[known] == 0]
+        y = np.concatenate([labels[known], np.zeros(len(clean), np.int64)]).astype(np.float32)
+        for turn in range(rounds):
+            if turn:
+                now = logits(p, looked)
+            best = np.array([looked[b + int(np.argmax(now[b:e]))] for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
+            spare = bounds[:-1] + (rng.random(len(docs)) * np.diff(bounds)).astype(np.int64)
+            chosen = np.concatenate([best[known], spare[clean]])
+            batches = max(1, len(chosen) // 128)
+            for _ in range(max(epochs, -(-STEPS // batches))):
+                for part in np.array_split(rng.permutation(len(chosen)), batches):
+                    x, mask, at = inputs(p, chosen[part])
+                    logit, kept = _forward(x, mask, p, keep=True)
+                    g, d_x = _backward(((_sigmoid(logit) - y[part]) / max(1, len(part))).astype(np.float32), kept, p)
+                    d_x = d_x * mask[..., None]
+                    g["E_w"], g["E_c"] = DECAY * p["E_w"], DECAY * p["E_c"]
+                    np.add.at(g["E_w"], w_at[at], d_x[..., :DIM])
+                    np.add.at(g["E_c"], c_at[at], d_x[..., DIM : 2 * DIM])
+                    adam.step(g)
+        return p
+
+    apart = fold < folds // 5 if len(docs) >= 2 * folds else np.zeros(len(docs), bool)
+    model = network(np.flatnonzero(~apart))
+    shown = apart if apart.any() else ~apart
+    of = np.flatnonzero(shown[doc_of])
+    top = np.full(len(docs), -np.inf)
+    np.maximum.at(top, doc_of[of], logits(model, of))
+    model |= tables[-1]
+    model["scale"] = _calibrate(top[shown], labels[shown], prior)
     return model
 
 
@@ -292,15 +347,16 @@ def score_texts(texts: list[str], words: Words) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a * top.astype(np.float64) + b, -30, 30)))
 
 
-def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether an id's row is kept from training; a null id has no remainder, and no label either: it isn't."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_chars: int = 10_000_000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_chars: int = 6_000_000) -> dict:
     """Fit on a sample of labelled rows that aren't held out: of each label at most ``per_class`` rows, in order of a hash of their id, and
     at most ``class_chars`` characters.  A text that doesn't fit in what is left of the characters is passed over; those taken are whole.
 
-    Null labels and ids are not learned from.  Without a row of either label there is no evidence: scores are then those of
+    Rows held out (:func:`held_out`) and null labels and ids are not learned from.  Without a row of either label there is no evidence: scores are then those of
     an untrained network.  An id labelled twice counts by its highest label, and one with several texts by one of them.
     """
     known = named(labels, doc_id="doc_id", toxic="toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).filter(~held_out())
@@ -343,6 +399,7 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFram
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document of whole ``documents``, by a network trained on the labelled rows that aren't held out."""
     docs = named(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -737,6 +737,36 @@ def test_toxicity_learns_and_scores(spark, docs, none):
     assert len(scored) == len(ROWS) and all(0 <= r.score <= 1 for r in scored) and toxicity.score(none, model).count() == 0
 
 
+def test_scores_are_of_the_best_of_all_windows():
+    rng = np.random.default_rng(10)
+    words = lambda n: " ".join(rng.choice([f"word{j}" for j in range(200)], n))
+    texts = [words(n) + (" vile" if i % 3 == 0 else "") for i, n in enumerate(rng.integers(1, 120, 90))]
+    model = toxicity.fit(texts, np.array([int(i % 3 == 0) for i in range(90)]))
+    some = ["", " ", "!", words(1), words(32), words(33), f"{words(500)} vile {words(700)}", words(2000), "é" * 9000, "vile " * 40]
+    slope, shift = model["scale"]
+    for text, got in zip(some, toxicity.score_texts(some, toxicity.Words(model)), strict=True):
+        split = toxicity.words_of(text)
+        logits = []
+        for start in sorted({*range(0, max(0, len(split) - toxicity.T) + 1, toxicity.STRIDE), max(0, len(split) - toxicity.T)}):
+            part = split[start : start + toxicity.T]
+            x = np.zeros((toxicity.T, 1, toxicity.INPUTS), np.float32)
+            for t, w in enumerate(part):
+                x[t, 0] = toxicity.Words.inputs([w], model)[0][0]
+            mask = (np.arange(toxicity.T)[:, None] < len(part)).astype(np.float32)
+            logits.append(float(toxicity._forward(x, mask, model)[0]))
+        assert abs(1 / (1 + np.exp(-(slope * max(logits) + shift))) - got) < 1e-4
+
+
+def test_toxicity_of_rows_held_out(spark):
+    where = DATA.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.toxic for r in common.table(spark, where, "labels").collect()}
+    got = [(r.predicted, labels[r.doc_id]) for r in toxicity.op10_toxicity(spark, where).collect() if r.held_out and r.doc_id in labels]
+    toxic = sum(y for _, y in got)
+    assert toxic >= 10 and sum(p for p, y in got if y) >= 0.8 * toxic and sum(p for p, y in got if not y) <= 0.06 * len(got)
+    none = spark.createDataFrame([(None, "x")], "doc_id long, text string")
+    assert none.select(toxicity.held_out()).first()[0] is False
+
+
 def test_gradients():
     rng = np.random.default_rng(9)
     h, n = toxicity.HIDDEN, toxicity.INPUTS
