@@ -758,11 +758,11 @@ def test_scores_are_of_the_best_of_all_windows():
 
 
 def test_toxicity_of_rows_held_out(spark):
-    where = DATA.replace("sf0.001", "sf0.01")
+    where = DATA.replace("sf0.001", "sf0.1")  # smaller tables hold out 14 toxic documents or fewer
     labels = {r.doc_id: r.toxic for r in common.table(spark, where, "labels").collect()}
     got = [(r.predicted, labels[r.doc_id]) for r in toxicity.op10_toxicity(spark, where).collect() if r.held_out and r.doc_id in labels]
     toxic = sum(y for _, y in got)
-    assert toxic >= 10 and sum(p for p, y in got if y) >= 0.8 * toxic and sum(p for p, y in got if not y) <= 0.06 * len(got)
+    assert toxic > 100 and sum(p for p, y in got if y) >= 0.9 * toxic and sum(p for p, y in got if not y) <= 10
     none = spark.createDataFrame([(None, "x")], "doc_id long, text string")
     assert none.select(toxicity.held_out()).first()[0] is False
 
