@@ -21,16 +21,70 @@ def with_parent(files: DataFrame) -> DataFrame:
     return files.withColumn("parent_path", paths.parent_path(F.col("path_rel")))
 
 
+DETAILS = ("compressed_size", "volume_name", "frame_id", "sddl", "attrs", "mtime")
+
+
 def list_dir(files: DataFrame, folder: str = "", hide_duplicates: bool = False) -> DataFrame:
-    """(name, is_folder, size) of a folder's direct children, folders first, then by lower-case name."""
+    """(name, is_folder, size) of a folder's direct children, folders first, then by lower-case name; with those of DETAILS that ``files`` has."""
     folder = folder.strip("/")
     prefix = f"{folder}/" if folder else ""
+    more = [c for c in DETAILS if c in files.columns]
     inside = files.filter(F.col("path_rel").startswith(prefix)) if prefix else files
     rest = inside.filter("not is_duplicate") if hide_duplicates else inside
     tail = F.substring("path_rel", len(prefix) + 1, 1 << 30)
-    here = rest.filter(F.instr(tail, "/") == 0).select(tail.alias("name"), F.lit(False).alias("is_folder"), "size")
-    below = inside.filter(F.instr(tail, "/") > 0).select(F.substring_index(tail, "/", 1).alias("name")).distinct().select("name", F.lit(True).alias("is_folder"), F.lit(None).cast("long").alias("size"))
-    return below.unionByName(here).orderBy(F.desc("is_folder"), F.lower("name"), "name")
+    here = rest.filter(F.instr(tail, "/") == 0).select(tail.alias("name"), F.lit(False).alias("is_folder"), "size", *more)
+    below = inside.filter(F.instr(tail, "/") > 0).select(F.substring_index(tail, "/", 1).alias("name")).distinct()
+    nothing = [F.lit(None).cast(here.schema[c].dataType).alias(c) for c in ("size", *more)]
+    return below.select("name", F.lit(True).alias("is_folder"), *nothing).unionByName(here).orderBy(F.desc("is_folder"), F.lower("name"), "name")
+
+
+def entries(files: DataFrame, offsets: DataFrame, frames: DataFrame, frame_size: int, base: str = "archive") -> DataFrame:
+    """Catalog rows with where they lie: ``start``, ``frame_id`` and ``volume_name`` of the content's first byte, ``compressed_size``.
+
+    A duplicate lies where its original does and takes no room of its own; an empty file lies nowhere.
+    A file's part of a frame's packed size goes by its bytes in the frame.
+    """
+    from .layout import slices, start_frames
+
+    frames = frames.select("frame_id", "volume_no", "size", "original_size")
+    share = F.col("length") * F.col("size") / F.col("original_size")
+    packed = slices(offsets, frame_size).join(frames, "frame_id").groupBy("path_rel").agg(F.round(F.sum(share)).cast("long").alias("compressed_size"))
+    first = start_frames(offsets, frame_size).select("path_rel", "start", F.col("start_frame").alias("frame_id"))
+    placed = first.join(frames.select("frame_id", paths.volume_name(base, F.col("volume_no")).alias("volume_name")), "frame_id", "left").join(packed, "path_rel", "left")
+    placed = placed.withColumnRenamed("path_rel", "source")
+    joined = files.withColumn("source", F.coalesce("original_path", "path_rel")).join(placed, "source", "left")
+    room = F.when(F.col("is_duplicate"), F.lit(0).cast("long")).otherwise(F.coalesce("compressed_size", F.lit(0).cast("long")))
+    return joined.select(*files.columns, "start", "frame_id", "volume_name", room.alias("compressed_size"))
+
+
+def with_frame_map(files: DataFrame, frame_map: DataFrame) -> DataFrame:
+    """Rows of a catalog without frame numbers (``sframe_id`` null) get theirs from the computed map (path_rel, start_frame)."""
+    own = frame_map.select("path_rel", F.col("start_frame").alias("_mapped"))
+    return files.join(own, "path_rel", "left").withColumn("sframe_id", F.coalesce("sframe_id", "_mapped")).drop("_mapped")
+
+
+def existing(acls: DataFrame, listing: DataFrame) -> DataFrame:
+    """Access-list rows (p) whose target is in the listing (path_rel), or a folder above one that is."""
+    there = listing.select(F.explode(F.array_append(paths.ancestors(F.col("path_rel")), F.col("path_rel"))).alias("p")).distinct()
+    return acls.join(there, "p", "left_semi")
+
+
+def by_id(files: DataFrame) -> DataFrame:
+    """Rows in order of their surrogate id."""
+    return files.orderBy("id")
+
+
+def select_add(selection: DataFrame, more: DataFrame) -> DataFrame:
+    """Selected paths and more, each once."""
+    return selection.select("path_rel").union(more.select("path_rel")).distinct()
+
+
+def select_discard(selection: DataFrame, less: DataFrame) -> DataFrame:
+    return selection.select("path_rel").distinct().join(less.select("path_rel").distinct(), "path_rel", "left_anti")
+
+
+def select_clear(selection: DataFrame) -> DataFrame:
+    return selection.select("path_rel").limit(0)
 
 
 def search(files: DataFrame, pattern: str, limit: int = 100) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # Fixed values of the formats.
 MIN_MATCH = 4
 MAX_OFFSET = (1 << 24) - 1
+HASH_FACTOR = 0x9E3779B1
 FNV_OFFSET, FNV_PRIME, FNV_BLOCK = 0xCBF29CE484222325, 0x100000001B3, 256 * 1024
 MODES = ("lz_ext3_gpu", "lz_ext3_cpu", "lz4_gpu", "lz4", "raw", "rle1", "rle2", "pattern_rle", "delta_rle")
 
@@ -70,27 +71,61 @@ def _length(n: int) -> bytes:
     return b"" if n < 15 else b"\xff" * ((n - 15) // 255) + bytes([(n - 15) % 255])
 
 
-def lz_encode(data: bytes) -> bytes:
-    """Greedy matches at the last place of the same four bytes; steps grow where nothing matches."""
+def lz_hash(data: bytes, bits: int = 20) -> np.ndarray:
+    """The table place of the four bytes at each position: the top bits of their product with a fixed odd number."""
+    a = np.frombuffer(data, np.uint8).astype(np.uint32)
+    n = max(0, len(a) - 3)
+    word = a[:n] | a[1 : n + 1] << np.uint32(8) | a[2 : n + 2] << np.uint32(16) | a[3 : n + 3] << np.uint32(24)
+    return (word * np.uint32(HASH_FACTOR)) >> np.uint32(32 - bits)
+
+
+def hash4(column: str) -> Column:
+    """:func:`lz_hash` of a content's first four bytes as a column, null for shorter ones; products stay within a long."""
+    h = F.hex(F.substring(column, 1, 4))
+    byte = lambda i: F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("long")
+    high, low = byte(3) * 256 + byte(2), byte(1) * 256 + byte(0)
+    product = F.pmod(low * HASH_FACTOR + F.pmod(high * HASH_FACTOR, F.lit(1 << 16)) * (1 << 16), F.lit(1 << 32))
+    return F.when(F.octet_length(column) >= 4, F.shiftright(product, 12))
+
+
+def lz_encode(data: bytes, candidates: int = 4, good: int = 96) -> bytes:
+    """The longest match among the last ``candidates`` places of the same four bytes; one of ``good`` bytes ends the search.
+
+    Steps grow where nothing matches.
+    """
     out, seen, i, done, misses = bytearray(), {}, 0, 0, 0
     last = len(data) - MIN_MATCH
-    while i <= last:
-        key = data[i : i + MIN_MATCH]
-        at = seen.get(key)
-        seen[key] = i
-        if at is None or i - at > MAX_OFFSET:
-            misses += 1
-            i += 1 + (misses >> 6)
-            continue
-        misses, n, step = 0, MIN_MATCH, 64
+
+    def matching(at: int, i: int) -> int:
+        n, step = MIN_MATCH, 64
         while step:
             while data[at + n : at + n + step] == data[i + n : i + n + step] and i + n + step <= len(data):
                 n += step
             step //= 2
-        literals = data[done:i]
-        out.append(min(15, len(literals)) << 4 | min(15, n - MIN_MATCH))
-        out += _length(len(literals)) + literals + (i - at).to_bytes(3, "little") + _length(n - MIN_MATCH)
-        i += n
+        return n
+
+    while i <= last:
+        places = seen.setdefault(data[i : i + MIN_MATCH], [])
+        best, at = 0, 0
+        for place in reversed(places):
+            if i - place > MAX_OFFSET:
+                break
+            n = matching(place, i)
+            if n > best:
+                best, at = n, place
+            if n >= good:
+                break
+        places.append(i)
+        if len(places) > candidates:
+            del places[0]
+        if not best:
+            misses += 1
+            i += 1 + (misses >> 6)
+            continue
+        misses, literals = 0, data[done:i]
+        out.append(min(15, len(literals)) << 4 | min(15, best - MIN_MATCH))
+        out += _length(len(literals)) + literals + (i - at).to_bytes(3, "little") + _length(best - MIN_MATCH)
+        i += best
         done = i
     if done < len(data):
         literals = data[done:]
@@ -195,7 +230,7 @@ def decode_frame(mode: str, data: bytes, size: int, dictionary: list[int] | None
     return bytes(data)
 
 
-ENCODERS = {"lz4": lz4_encode, "lz_ext3_cpu": lz_encode}
+ENCODERS = {"lz4": lz4_encode, "lz_ext3_cpu": lz_encode, "raw": lambda data: b""}
 
 
 def rle_encode(data: bytes) -> bytes:
@@ -245,7 +280,7 @@ def encode_legacy(frames: DataFrame, mode: str, dictionary: list[int] | None = N
 
 
 def encode_frames(frames: DataFrame, mode: str = "lz4") -> DataFrame:
-    """(frame_id, data) to (frame_id, mode, original_size, size, payload); what doesn't shrink stays raw.
+    """(frame_id, data) to (frame_id, mode, original_size, size, payload); what doesn't shrink, or fails to, stays raw.
 
     ``lz4`` packs hundreds of megabytes a second in each task; ``lz_ext3_cpu`` finds matches up to 16 MB back, in Python.
     """
@@ -255,7 +290,10 @@ def encode_frames(frames: DataFrame, mode: str = "lz4") -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):  # a frame at a time: memory is bounded by one frame
                 data = batch.column(1)[i].as_py()
-                packed = encode(data)
+                try:
+                    packed = encode(data)
+                except (CodecError, MemoryError, OSError):  # what can't be packed is kept as it is
+                    packed = b""
                 good = 0 < len(packed) < len(data)
                 payload = packed if good else data
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([mode if good else "raw"]), pa.array([len(data)], pa.int64()), pa.array([len(payload)], pa.int64()), pa.array([payload], pa.binary())], ["frame_id", "mode", "original_size", "size", "payload"])
@@ -276,10 +314,31 @@ def decode_frames(frames: DataFrame, dictionary: list[int] | None = None, patter
 
 
 def fnv1a(data: bytes) -> int:
-    h = FNV_OFFSET
-    for b in data:
-        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
-    return h
+    return int(fnv1a_many([data])[0])
+
+
+def fnv1a_many(values: list[bytes], rows: int = 512, room: int = 32 << 20) -> np.ndarray:
+    """The hash of each value; the j-th bytes of many values at a time, values of like length together."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    order, out, i = np.argsort(sizes, kind="stable"), np.full(len(values), FNV_OFFSET, np.uint64), 0
+    while i < len(order):
+        n = 1
+        while i + n < len(order) and n < rows and (n + 1) * sizes[order[i + n]] <= room:
+            n += 1
+        part = order[i : i + n]
+        longest = int(sizes[part[-1]])
+        table = np.zeros((longest, n), np.uint8)
+        for k, at in enumerate(part.tolist()):
+            table[: sizes[at], k] = np.frombuffer(values[at], np.uint8)
+        h = np.full(n, FNV_OFFSET, np.uint64)
+        first = np.searchsorted(sizes[part], np.arange(1, longest + 1)).tolist()  # of those that have a j-th byte
+        for j in range(longest):
+            live = h[first[j] :]
+            live ^= table[j, first[j] :]
+            live *= np.uint64(FNV_PRIME)
+        out[part] = h
+        i += n
+    return out
 
 
 def fnv_blocks(data: bytes) -> int:
@@ -304,7 +363,10 @@ def joined(parts: str, order: str, data: str) -> Column:
 def fnv1a_hex(column: str) -> Column:
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else f"{fnv1a(bytes(v)):016x}")
+        some = values.notna()
+        out = pd.Series([None] * len(values), dtype=object)
+        out[some.to_numpy()] = [f"{h:016x}" for h in fnv1a_many([bytes(v) for v in values[some]]).tolist()]
+        return out
 
     return run(column)
 

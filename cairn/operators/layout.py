@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..staging import stage
+
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -16,26 +18,18 @@ def canonical_order() -> list[Column]:
     return [F.lower("path_rel"), F.col("path_rel")]
 
 
-def with_range(df: DataFrame, key: Column, ranges: int = 64, sample: int = 4096) -> DataFrame:
-    """Adds ``_range``, which ascends with ``key``, by bounds from a bounded sample spread evenly by hash."""
-    keys = sorted(r[0] for r in df.select(key.alias("k")).filter("k is not null").orderBy(F.xxhash64("k"), "k").limit(sample).collect())
-    bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
-    if not bounds:
-        return df.withColumn("_range", F.lit(0))
-    return df.withColumn("_range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)))
-
-
 def running_before(df: DataFrame, value: str, order: list[Column], name: str) -> DataFrame:
     """Exclusive running sum in a total order, without a window over all rows in one task.
 
-    Rows fall into ranges of the first order key; each range has its own window, and the ranges'
-    totals, of which there are few, are summed up and added.
+    Rows are dealt by ranges of the whole order, as many as a shuffle has partitions, and staged with
+    their range's number, so they are computed once; each range has its own window, and the ranges'
+    totals, one row each, are summed up and added.
     """
-    ranged = with_range(df, order[0])
-    totals = ranged.groupBy("_range").agg(F.sum(value).alias("t"))
+    dealt = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range").agg(F.sum(value).alias("t"))
     base = totals.select("_range", F.coalesce(F.sum("t").over(Window.orderBy("_range").rowsBetween(*BEFORE)), F.lit(0)).alias("_base"))
     local = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(*BEFORE)), F.lit(0))
-    return ranged.withColumn("_local", local).join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_local")).drop("_range", "_base", "_local")
+    return dealt.withColumn("_local", local).join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_local")).drop("_range", "_base", "_local")
 
 
 def file_offsets(catalog: DataFrame) -> DataFrame:
@@ -50,10 +44,10 @@ def start_frames(offsets: DataFrame, frame_size: int) -> DataFrame:
 
 def frames(offsets: DataFrame, frame_size: int) -> DataFrame:
     """(frame_id, frame_start, frame_end, original_size): fixed-size frames over all bytes, the last may be short."""
-    total = offsets.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    ids = total.filter("total > 0").select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / frame_size))).alias("frame_id"))
+    total = offsets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    ids = offsets.sparkSession.range(-(-total // frame_size)).withColumnRenamed("id", "frame_id")  # dealt over tasks, however many
     start = F.col("frame_id") * frame_size
-    return ids.select("frame_id", start.alias("frame_start"), F.least(start + frame_size, F.col("total")).alias("frame_end")).withColumn("original_size", F.col("frame_end") - F.col("frame_start"))
+    return ids.select("frame_id", start.alias("frame_start"), F.least(start + frame_size, F.lit(total)).alias("frame_end")).withColumn("original_size", F.col("frame_end") - F.col("frame_start"))
 
 
 def slices(offsets: DataFrame, frame_size: int) -> DataFrame:
@@ -68,23 +62,24 @@ def slices(offsets: DataFrame, frame_size: int) -> DataFrame:
     return hit.select("path_rel", "frame_id", (first - F.col("start")).alias("in_file"), (first - F.col("frame_id") * frame_size).alias("in_frame"), (last - first).alias("length"))
 
 
-def next_fit(sizes: DataFrame, max_volume: int) -> DataFrame:
+def next_fit(sizes: DataFrame, max_volume: int, volume: int = 1, used: int = 0) -> DataFrame:
     """(frame_id, size) in order of frame_id to (frame_id, size, volume_no, volume_offset).
 
     A frame opens a new volume when it doesn't fit; one larger than a volume has its own.  The fold
-    is sequential by nature; it streams over one row a frame in constant memory.
+    is sequential by nature; it streams over one row a frame, without payloads, in constant memory.
+    It may go on from a ``volume`` of which some bytes are ``used``.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        volume, used = 1, 0
+        now, full = volume, used
         for batch in batches:
             volumes, offsets = [], []
             for size in batch["size"]:
-                if used and used + size > max_volume:
-                    volume, used = volume + 1, 0
-                volumes.append(volume)
-                offsets.append(used)
-                used += size
+                if full and full + size > max_volume:
+                    now, full = now + 1, 0
+                volumes.append(now)
+                offsets.append(full)
+                full += size
             yield batch.assign(volume_no=volumes, volume_offset=offsets)
 
     ordered = sizes.select(F.col("frame_id").cast("long"), F.col("size").cast("long")).repartition(1).sortWithinPartitions("frame_id")

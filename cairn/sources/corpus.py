@@ -30,27 +30,53 @@ def pages_as_files(pages: DataFrame) -> DataFrame:
     return pages.select(path.alias("path_rel"), F.octet_length(content).cast("long").alias("size"), content.alias("content"))
 
 
-def list_files(spark: SparkSession, root: str, slices: int = 64) -> DataFrame:
-    """(path_rel, size) of all regular files under ``root``, empty ones too; symbolic links are not followed.
+def walk(spark: SparkSession, root: str, slices: int = 64) -> DataFrame:
+    """(path_rel, size, reason) of everything under ``root`` that is no folder; ``reason`` says why it is no file to keep, else null.
 
+    Reasons: ``symlink`` (not followed), ``special`` (no regular file), ``unreadable`` (also folders).
     The driver lists the first level; the folders found there are walked in parallel.
     """
-    first = [(e.path, e.is_dir(follow_symlinks=False)) for e in os.scandir(root) if not e.is_symlink()]
+    first = [(e.path, e.is_dir(follow_symlinks=False)) for e in os.scandir(root)]
     tops = spark.createDataFrame(first or [("", False)], "path string, folder boolean").repartition(max(1, min(slices, len(first))))
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(path: str) -> tuple[str, int, str | None]:
+        name = os.path.relpath(path, root).replace(os.sep, "/")
+        try:
+            if os.path.islink(path):
+                return name, 0, "symlink"
+            if not os.path.isfile(path):
+                return name, 0, "special"
+            if not os.access(path, os.R_OK):
+                return name, 0, "unreadable"
+            return name, os.path.getsize(path), None
+        except OSError:
+            return name, 0, "unreadable"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, folder in zip(frame["path"], frame["folder"], strict=True):
                 if folder:
-                    for where, _, names in os.walk(path):
-                        rows += [os.path.join(where, n) for n in names]
+                    shut: list[str] = []
+                    for where, folders, names in os.walk(path, onerror=lambda e: shut.append(e.filename)):  # noqa: B023
+                        links = [n for n in folders if os.path.islink(os.path.join(where, n))]
+                        rows += [look(os.path.join(where, n)) for n in [*names, *links]]
+                    rows += [(os.path.relpath(p, root).replace(os.sep, "/"), 0, "unreadable") for p in shut]
                 elif path:
-                    rows.append(path)
-            rows = [p for p in rows if os.path.isfile(p) and not os.path.islink(p)]
-            yield pd.DataFrame({"path_rel": [os.path.relpath(p, root).replace(os.sep, "/") for p in rows], "size": [os.path.getsize(p) for p in rows]}, columns=["path_rel", "size"]).astype({"path_rel": object, "size": "int64"})
+                    rows.append(look(path))
+            yield pd.DataFrame(rows, columns=["path_rel", "size", "reason"]).astype({"path_rel": object, "size": "int64", "reason": object})
+
+    return tops.mapInPandas(run, "path_rel string, size long, reason string")
+
+
+def list_files(spark: SparkSession, root: str, slices: int = 64) -> DataFrame:
+    """(path_rel, size) of all regular files under ``root`` that can be read, empty ones too; symbolic links are not followed."""
+    return walk(spark, root, slices).filter("reason is null").select("path_rel", "size")
+
 
-    return tops.mapInPandas(walk, "path_rel string, size long")
+def skipped(spark: SparkSession, root: str) -> DataFrame:
+    """(reason, n): what a scan leaves out, and why."""
+    return walk(spark, root).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:

@@ -14,11 +14,16 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of our own, but only if driver and executors are one machine: on a
+    cluster a machine's temporary folder is seen by that machine alone, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="cairn-shared-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-shared-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import codecs, layout
+from ..staging import shared_dir, stage
 
 VOLUMES = "stream string, frame_id long, size long, volume_no long, volume_offset long"
 
@@ -57,15 +60,60 @@ def roll_volumes(frames: DataFrame, max_volume: int) -> DataFrame:
     return frames.groupBy("stream").applyInPandasWithState(fold, VOLUMES, "volume long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
-def pack_stream(frames: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Encode frames of (stream, frame_id, data) as they come and append them below ``path``, a folder for each batch, so a repeated batch replaces its own."""
+def read_chunks(spark: SparkSession, folder: str, files_at_once: int = 16) -> DataFrame:
+    """A stream of (stream, start, data) chunks from Parquet files as they come, a bounded number of files at a time."""
+    return spark.readStream.schema("stream string, start long, data binary").option("maxFilesPerTrigger", files_at_once).parquet(folder)
+
+
+def pack_stream(frames: DataFrame, path: str, checkpoint: str, max_volume: int | None = None) -> StreamingQuery:
+    """Encode frames of (frame_id, data) as they come and append them below ``path``, a folder for each batch, so a repeated batch replaces its own.
+
+    With ``max_volume`` frames are placed in volumes, too: a batch goes on where the batches before it
+    ended, which their folders tell, so a repeated batch is placed as before.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        codecs.encode_frames(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        encoded = codecs.encode_frames(batch.select("frame_id", "data"))
+        if max_volume is not None:
+            encoded = stage(encoded, "encoded")
+            ends = (F.col("volume_offset") + F.col("size")).alias("used")
+            last = None
+            if number:
+                before = batch.sparkSession.read.parquet(path).filter(F.col("batch") < number)
+                last = before.agg(F.max(F.struct("volume_no", ends)).alias("m")).first()["m"]
+            volume, used = (last["volume_no"], last["used"]) if last else (1, 0)
+            placed = layout.next_fit(encoded.select("frame_id", "size"), max_volume, volume, used).drop("size")
+            encoded = encoded.join(placed, "frame_id")
+        encoded.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_ordered(frames: DataFrame, sink: BinaryIO, size: int | None = None) -> int:
+    """The bytes of (frame_id, mode, original_size, payload) in order to a sink such as standard output; their number.
+
+    Frames are decoded in parallel and taken one partition at a time; ``size``, if known, must be met.
+    """
+    decoded = codecs.decode_frames(frames).orderBy("frame_id")
+    n = 0
+    for row in decoded.toLocalIterator():
+        n += sink.write(row["data"])
+    if size is not None and n != size:
+        raise ValueError(f"{n} bytes, not {size}")
+    return n
+
+
+def rolled(spark: SparkSession, frames: DataFrame, max_volume: int) -> DataFrame:
+    """Volumes of (stream, frame_id, size) by a streaming query over a staged copy, run to its end; the result is a staged table."""
+    source, out = stage(frames.select("stream", "frame_id", "size").coalesce(1).sortWithinPartitions("frame_id"), "stream"), f"{shared_dir(spark)}/rolled-{uuid.uuid4().hex}"
+    folder = source.inputFiles()[0].rsplit("/", 1)[0]
+    live = spark.readStream.schema(source.schema).parquet(folder)
+    sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    query = roll_volumes(live, max_volume).writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}-check").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def stream_catalog(frames: DataFrame) -> DataFrame:
     """One file row for the whole stream."""
     return frames.agg(F.lit("<stdin>").alias("path_rel"), F.coalesce(F.sum("original_size"), F.lit(0)).alias("size"), F.count("*").alias("frames"))
