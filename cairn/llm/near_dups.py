@@ -311,13 +311,19 @@ def _classes(docs: DataFrame, threshold: float, words: int, bands: int, rows: in
     sizes = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     sized = stage(entries.join(sizes, "key"), "entries")
     popular = sized.groupBy("node").agg(F.sum("size").alias("pop"))
-    held = stage(sized.join(popular, "node"), "members")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / salted)).alias("salt")  # deals a large bucket's members over tasks
+    held = stage(sized.join(popular, "node").select("key", salt, "node", "size", "pop"), "members")
     unstage(sized)
+
+    def salts(by_key: DataFrame) -> DataFrame:
+        """Rows of one a key (with ``size``), once for each of the key's salts."""
+        return by_key.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / salted) - 1))).drop("size")
+
     few, many = held.filter(F.col("size") <= small), held.filter(F.col("size") > small)
     x, y = few.select("key", F.col("node").alias("x")), few.select("key", F.col("node").alias("y"))
     pairs = x.join(y, "key").filter("x < y").select(F.col("y").alias("a"), F.col("x").alias("b"), F.lit(0).cast("long").alias("size"))
-    hubs = many.groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("hub"))
-    star = many.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "size")
+    hubs = many.groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("hub"), F.max("size").alias("size"))
+    star = many.join(salts(hubs), ["key", "salt"]).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "size")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(node, text) of the wanted nodes, each from a row of its least doc_id."""
@@ -344,12 +350,13 @@ def _classes(docs: DataFrame, threshold: float, words: int, bands: int, rows: in
 
     # Members of large buckets outside the class of the bucket's hub meet all of the bucket, in blocks.
     m = labelled(many)
-    home = m.groupBy("key").agg(F.max_by("label", F.struct("pop", "node")).alias("home"), F.count("*").alias("n"))
-    apart = stage(m.join(home, "key").filter("label <> home").select("key", "node", "label", "n"), "apart")
+    home = m.groupBy("key").agg(F.max_by("label", F.struct("pop", "node")).alias("home"), F.max("size").alias("size"))
+    apart = stage(m.join(salts(home), ["key", "salt"]).filter("label <> home").select("key", "salt", "node", "label", "size"), "apart")
     if apart.take(1):
-        counts = apart.groupBy("key").agg(F.ceil(F.count("*") / 128).alias("n_left"), F.ceil(F.max("n") / 256).alias("n_right"))
-        members = m.join(counts, "key").select("key", "node", "label", "n_left", "n_right")
-        lone = apart.join(counts, "key").select("key", "node", "label", "n_left", "n_right")
+        blocks = [F.ceil(F.count("*") / 128).alias("n_left"), F.ceil(F.max("size") / 256).alias("n_right"), F.max("size").alias("size")]
+        counts = salts(apart.groupBy("key").agg(*blocks))
+        members = m.join(counts, ["key", "salt"]).select("key", "node", "label", "n_left", "n_right")
+        lone = apart.join(counts, ["key", "salt"]).select("key", "node", "label", "n_left", "n_right")
         elements = stage(texts_of(members.select("node")).mapInArrow(_elements(words), "node binary, elements binary"), "elements")
 
         def deal(x: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:

@@ -799,6 +799,43 @@ def test_registry_and_pipeline(spark):
     assert seen and not seen & leaks and len({classes[d] for d in seen}) == len(seen)
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    words = lambda n: " ".join(rng.choice([f"word{j}" for j in range(900)], n))
+    item, near = words(30), words(60)
+    copies = [(None, near), (None, near), (50, near), (51, near + " more"), (52, words(40)), (52, words(45)), (None, words(50)), (53, None), (54, ""), (54, "")]
+    leaks = [(60, f"{words(9)} {item} {words(5)}"), (None, item)]
+    toxic = [(100 + i, f"{words(40)} gnarf{i % 7} vile{i % 5} {words(30)}") for i in range(40)]
+    clean = [(200 + i, words(70)) for i in range(80)] + [(300, f"password=hunter2222 {words(20)}")]
+    data = [(d, t, "en", "src", None if t is None else len(t), 9, "x") for d, t in copies + leaks + toxic + clean]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, node string"
+    where, empty = f"{tmp_path}/odd", f"{tmp_path}/empty"
+    docs = spark.createDataFrame(data, schema)
+    labels = spark.createDataFrame([(d, 1, 1) for d, _ in toxic] + [(d, 1, 0) for d, _ in clean] + [(None, 0, 1), (999, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string")
+    for root, n in ((where, 10**6), (empty, 0)):
+        for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+            df.limit(n).repartition(3).write.parquet(f"{root}/{name}.parquet")
+    kept = docs
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        kept = common.stage(step(spark, kept, where), name)
+        assert kept.columns == docs.columns
+        if name == "near_duplicates":
+            got = rows(kept, "doc_id", "text")
+            assert got[50, near] + got[51, near + " more"] == 1 and not got[None, near] and sum(n for (d, _), n in got.items() if d == 52) == 2
+            assert sum(n for (d, t), n in got.items() if d in (53, 54)) == 1 and sum(n for (d, _), n in got.items() if d is None) == 2
+        if name == "decontamination":
+            got = rows(kept, "doc_id", "text")
+            assert not any(t and item in t for _, t in got)
+    got = {r.doc_id: r.text for r in kept.collect() if r.doc_id is not None}
+    assert got[300].startswith("[assign] ") and {d for d, _ in clean} <= set(got) and len({d for d, _ in toxic} & set(got)) <= 8
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, where)
+    assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 def test_queries_match_sql(spark):
     import duckdb
 
