@@ -71,6 +71,12 @@ def html(nodes: DataFrame, title: str, limit: int = 5000) -> str:
     return "".join(out)
 
 
+def overview(files: DataFrame, frame_table: DataFrame) -> DataFrame:
+    """One row: an archive's folders beside its statistics."""
+    folders = tree(files).filter("path <> ''").agg(F.count("*").alias("folders"))  # one row each
+    return compression_stats(files, frame_table).join(F.broadcast(folders))
+
+
 def progress(frame_table: DataFrame) -> DataFrame:
     """(frame_id, mode, done_bytes, percent): how much of the original bytes is done with each frame, in order."""
     running = running_before(frame_table.select("frame_id", "mode", "original_size"), "original_size", [F.col("frame_id")], "before")

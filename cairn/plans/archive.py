@@ -20,11 +20,16 @@ from ..staging import stage
 
 
 class Archive(NamedTuple):
-    """``files`` (path_rel, size, is_duplicate, original_path), ``slices`` of the unique files, and ``frames`` with payloads and volumes."""
+    """``files`` (path_rel, size, is_duplicate, original_path), ``slices`` of the unique files, and ``frames`` with payloads and volumes.
+
+    Frames of the older modes need the archive's byte dictionary and patterns, too.
+    """
 
     files: DataFrame
     slices: DataFrame
     frames: DataFrame
+    dictionary: list[int] | None = None
+    patterns: list[bytes] | None = None
 
 
 def frame_bytes(files: DataFrame, frame_size: int, slices: DataFrame | None = None) -> DataFrame:
@@ -52,7 +57,7 @@ def write(archive: Archive, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> Archive:
-    return Archive(*[spark.read.parquet(f"{path}/{name}") for name in Archive._fields])
+    return Archive(*[spark.read.parquet(f"{path}/{name}") for name in ("files", "slices", "frames")])
 
 
 def _parts(archive: Archive, files: DataFrame, every: bool) -> DataFrame:
@@ -61,7 +66,8 @@ def _parts(archive: Archive, files: DataFrame, every: bool) -> DataFrame:
     slices = archive.slices.join(wanted, "path_rel", "left_semi")
     frames = archive.frames if every else archive.frames.join(slices.select("frame_id").distinct(), "frame_id", "left_semi")
     cut = F.expr("substring(data, cast(in_frame + 1 as int), cast(length as int))")
-    return slices.join(codecs.decode_frames(frames), "frame_id").select("path_rel", "in_file", cut.alias("bytes"))
+    decoded = codecs.decode_frames(frames, archive.dictionary, archive.patterns)
+    return slices.join(decoded, "frame_id").select("path_rel", "in_file", cut.alias("bytes"))
 
 
 def _selected(archive: Archive, selection: DataFrame | None) -> DataFrame:
@@ -217,4 +223,7 @@ def read_volumes(spark: SparkSession, base: str) -> Archive:
     got = rows.select(*names).mapInPandas(fetch, "frame_id long, mode string, original_size long, size long, vol string, volume_offset long, payload binary")
     frames = got.withColumn("volume_no", paths.volume_number(F.col("vol")).cast("long")).drop("vol")
     files = index["files"].select("path_rel", "size", "is_duplicate", "original_path")
-    return Archive(files, layout.slices(layout.file_offsets(files), int(index["params"]["frame_size"])), frames)
+    slices = layout.slices(layout.file_offsets(files), int(index["params"]["frame_size"]))
+    known = (index["params"].get("dictionary") or {}).get("top_bytes")
+    patterns = (index["params"].get("pattern_dictionary") or {}).get("patterns")
+    return Archive(files, slices, frames, known, patterns and [bytes.fromhex(p) for p in patterns])

@@ -656,12 +656,21 @@ SELECT count(*) AS files, count(*) FILTER (is_duplicate) AS duplicates,
   CAST(coalesce(sum(size) FILTER (is_duplicate), 0) AS BIGINT) AS duplicate_bytes FROM cat"""
 
 
-@query(f"""
+_STATS = f"""
 SELECT f.*, v.*, CASE WHEN compressed_bytes > 0 THEN original_bytes::DOUBLE / compressed_bytes ELSE 1 END AS ratio,
   CASE WHEN original_bytes > 0 THEN (original_bytes - compressed_bytes) * 100.0::DOUBLE / original_bytes ELSE 0 END AS saved_percent
 FROM ({_FILE_SUMS}) f, (
   SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS compressed_bytes, count(DISTINCT volume_no) AS volumes,
-    string_agg(DISTINCT CAST(volume_no AS VARCHAR), ',' ORDER BY CAST(volume_no AS VARCHAR)) AS volume_list FROM fv) v""")
+    string_agg(DISTINCT CAST(volume_no AS VARCHAR), ',' ORDER BY CAST(volume_no AS VARCHAR)) AS volume_list FROM fv) v"""
+
+
+@query(_FOLDERS + f"SELECT *, (SELECT count(*) FROM c WHERE path <> '') AS folders FROM ({_STATS})")
+def Q19_overview(s, d):
+    files = _catalog(s, d)
+    return report.overview(files, _volumes(s, d, layout.file_offsets(files)))
+
+
+@query(_STATS)
 def Q13_compression_stats(s, d):
     files = _catalog(s, d)
     return report.compression_stats(files, _volumes(s, d, layout.file_offsets(files)))

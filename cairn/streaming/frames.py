@@ -65,6 +65,26 @@ def read_chunks(spark: SparkSession, folder: str, files_at_once: int = 16) -> Da
     return spark.readStream.schema("stream string, start long, data binary").option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
 
+def spool(spark: SparkSession, source: BinaryIO, folder: str, frame_size: int, stream: str = "-", at_once: int = 64) -> int:
+    """Bytes from a source such as standard input to chunks of a frame's size, appended below ``folder`` for :func:`read_chunks`; their number.
+
+    The driver holds ``at_once`` chunks; the last may be short.
+    """
+    start, rows = 0, []
+    schema = "stream string, start long, data binary"
+    while data := source.read(frame_size):
+        while len(data) < frame_size and (more := source.read(frame_size - len(data))):
+            data += more  # a pipe may give less than was asked for
+        rows.append((stream, start, data))
+        start += len(data)
+        if len(rows) == at_once:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+            rows = []
+    if rows:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+    return start
+
+
 def pack_stream(frames: DataFrame, path: str, checkpoint: str, max_volume: int | None = None) -> StreamingQuery:
     """Encode frames of (frame_id, data) as they come and append them below ``path``, a folder for each batch, so a repeated batch replaces its own.
 

@@ -180,6 +180,33 @@ def test_volume_files_come_back(spark, tmp_path):
         assert len(got) == 1 + alone
 
 
+def test_volume_files_of_older_modes_come_back(spark, tmp_path):
+    df, dictionary, patterns = files(spark, TREE), [120, 0], [b"xx", b"gr"]
+    plain_ = archive.pack(df, 100, 150, "raw")
+    bytes_ = ship(spark).createDataFrame([(r.frame_id, bytes(r.payload)) for r in plain_.frames.collect()], "frame_id long, data binary")
+    for mode in ("rle1", "rle2", "pattern_rle", "delta_rle"):
+        packed = codecs.encode_legacy(bytes_, mode, dictionary, patterns)
+        placed = layout.next_fit(packed.select("frame_id", "size"), 150).drop("size")
+        old = archive.Archive(plain_.files, plain_.slices, packed.join(placed, "frame_id"))
+        params = {"frame_size": 100, "dictionary": {"top_bytes": dictionary}, "pattern_dictionary": {"patterns": [p.hex() for p in patterns]}}
+        archive.write_volumes(old, f"{tmp_path}/{mode}", 150, params)
+        back = archive.read_volumes(spark, f"{tmp_path}/{mode}")
+        assert {r.path_rel: bytes(r.content) for r in archive.restore(back).collect()} == dict(TREE)
+
+
+def test_spooled_bytes_are_the_stream(spark, tmp_path):
+    class Pipe(io.BytesIO):
+        def read(self, n=-1):
+            return super().read(min(n, 7))
+
+    data = random.Random(5).randbytes(1003)
+    assert stream.spool(spark, Pipe(data), f"{tmp_path}/in", 64, at_once=5) == 1003 and stream.spool(spark, io.BytesIO(b""), f"{tmp_path}/none", 64) == 0
+    q = stream.cut_chunks(stream.read_chunks(spark, f"{tmp_path}/in", 2), 100).writeStream.format("memory").queryName("spooled").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    whole = stream.join_frames(spark.table("spooled")).orderBy("frame_id").collect()
+    assert b"".join(bytes(r.data) for r in whole) == data and len(whole) == 11
+
+
 def test_indexes_as_json_and_lines(spark, tmp_path):
     rows = spark.createDataFrame([("a", 3, False, None), ("b", 3, True, "a")], "path_rel string, size long, is_duplicate boolean, original_path string")
     frames = spark.createDataFrame([(0, "x.001", 0, 2, 3)], index_io.FRAMES)
