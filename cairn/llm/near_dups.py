@@ -44,6 +44,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _word_byte = np.zeros(256, bool)
 _word_byte[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
+_SPAN = 4 << 20
 _powers = np.cumprod(np.full(1 << 16, 0x100000001B3, np.uint64), dtype=np.uint64)
 
 
@@ -69,12 +70,18 @@ class Shingler:
         counts = np.diff(np.searchsorted(starts, text_ends), prepend=0)
         if not len(starts):
             return np.zeros(0, np.uint64), counts
-        sizes = ends - starts
-        letters = data[inside].astype(np.uint64) + np.uint64(1)
-        first = np.cumsum(sizes) - sizes
-        place = np.arange(len(letters)) - np.repeat(first, sizes)
-        letters *= _powers[place & 0xFFFF]
-        return mix(np.add.reduceat(letters, first) * _mixer + sizes.astype(np.uint64)), counts
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):  # some megabytes of a very long text at a time
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + _SPAN)))
+            part = slice(starts[i], ends[j - 1])
+            sizes = ends[i:j] - starts[i:j]
+            letters = data[part][inside[part]].astype(np.uint64) + np.uint64(1)
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(len(letters)) - np.repeat(first, sizes)
+            letters *= _powers[place & 0xFFFF]
+            out[i:j] = mix(np.add.reduceat(letters, first) * _mixer + sizes.astype(np.uint64))
+            i = j
+        return out, counts
 
     def shingles(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Each text's distinct shingle hashes, ascending, and their frequencies."""

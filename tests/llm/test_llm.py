@@ -374,6 +374,14 @@ def test_similarity_matrix_and_samples():
     assert abs((got[:, None] == got[None]).mean(-1) - exact).max() < 0.08
 
 
+def test_word_hashes_do_not_depend_on_the_span(monkeypatch):
+    some = [t for _, t in texts()] + ["é" * 50, " a  b", "one"]
+    want = near_dups.Shingler().word_hashes(some)
+    monkeypatch.setattr(near_dups, "_SPAN", 7)
+    got = near_dups.Shingler().word_hashes(some)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and want[1].tolist()[0] == 8
+
+
 def test_near_duplicate_edges(docs, none):
     assert near_dups.near_duplicates(docs).count() == len(ROWS) and near_dups.near_duplicates(none).count() == near_dups.keep_one(none).count() == 0
 
