@@ -63,14 +63,15 @@ talk_frames AS (
 
 
 def next_fit(items: str, limit: int) -> str:
-    """A fold of ``items`` (frame_id, size), numbered from 0, into volumes of ``limit`` bytes, as a common table expression."""
+    """A fold of a query's rows (frame_id, size), numbered from 0, into volumes of ``limit`` bytes, as a common table expression."""
     new = f"used > 0 AND used + i.size > {limit}"
-    return f""", own(frame_id, size, volume_no, volume_offset, used) AS (
+    return f""", items AS MATERIALIZED ({items}),
+own(frame_id, size, volume_no, volume_offset, used) AS (
   SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
   UNION ALL
   SELECT i.frame_id, i.size, CASE WHEN {new} THEN volume_no + 1 ELSE volume_no END, CASE WHEN {new} THEN 0 ELSE used END,
     CASE WHEN {new} THEN i.size ELSE used + i.size END
-  FROM own JOIN {items} i ON i.frame_id = own.frame_id + 1)"""
+  FROM own JOIN items i ON i.frame_id = own.frame_id + 1)"""
 
 
 def bytes_text(size: str, n: int) -> str:

@@ -493,7 +493,7 @@ def W4_start_frames(s, d):
     return layout.start_frames(_offsets(s, d), FRAME)
 
 
-@query(next_fit("(SELECT row_number() OVER (ORDER BY lower(path_rel), path_rel) - 1 AS frame_id, size FROM offs)", 30_000)
+@query(next_fit("SELECT row_number() OVER (ORDER BY lower(path_rel), path_rel) - 1 AS frame_id, size FROM offs", 30_000)
        + "SELECT frame_id, size, volume_no, volume_offset FROM own WHERE frame_id >= 0")
 def W5_next_fit(s, d):
     """Every unique file as one stored item, in order, in volumes that some of them overfill."""
@@ -736,7 +736,7 @@ def T1_stream_frames(s, d):
     return frame_stream.batch_frames(table(s, d, "conversations"), 4096).select("frame_id", F.octet_length("data").cast("long").alias("size"), _digest())
 
 
-@query(next_fit("talk_frames", 10_000) + "SELECT frame_id, size, volume_no, volume_offset FROM own WHERE frame_id >= 0")
+@query(next_fit("SELECT frame_id, size FROM talk_frames", 10_000) + "SELECT frame_id, size, volume_no, volume_offset FROM own WHERE frame_id >= 0")
 def T6_roll_volumes(s, d):
     """A streaming query whose volumes close by their bytes."""
     frames = frame_stream.batch_frames(table(s, d, "conversations"), 4096)
