@@ -326,7 +326,7 @@ def _calibrate(top: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
 
 
 def score_texts(texts: list[str], words: Words) -> np.ndarray:
-    """Scores in 0..1 of whole texts."""
+    """Scores in 0..1 of whole texts; a text without a word says nothing, and scores 0."""
     model = words.model
     words.trim()
     docs = [words.ids(words_of(text)) for text in texts]
@@ -344,7 +344,7 @@ def score_texts(texts: list[str], words: Words) -> np.ndarray:
         logits[i : i + 512] = _forward(words.x[at] * mask[..., None], mask, model)
     top = np.maximum.reduceat(logits, np.cumsum(n_windows) - n_windows)
     a, b = model["scale"]
-    return 1 / (1 + np.exp(-np.clip(a * top.astype(np.float64) + b, -30, 30)))
+    return np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(a * top.astype(np.float64) + b, -30, 30))), 0.0)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -378,7 +378,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_chars
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """All columns of ``docs`` (with a text column) and ``score`` and ``predicted``, under ``names``, in place of columns so named; null texts are empty, empty texts have a score too."""
+    """All columns of ``docs`` (with a text column) and ``score`` and ``predicted``, under ``names``, in place of columns so named; null texts are empty, and texts without a word score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size, about 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
