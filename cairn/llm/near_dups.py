@@ -381,7 +381,7 @@ def _classes(docs: DataFrame, threshold: float, words: int, bands: int, rows: in
     return signed.select("doc_id", "node"), labelled(nodes.select("node", "rep", "n"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, bands: int = 16, rows: int = 4, strength: float = 0.25, small: int = 8, salted: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, bands: int = 16, rows: int = 4, strength: float = 0.25, small: int = 8, salted: int = 128) -> DataFrame:
     """(doc_id, class_id, n_class) for every row of ``docs`` (doc_id, text); ``class_id`` is the class's least doc_id.
 
     Null texts are empty.  Equal texts are in one class whatever their length, all empty texts in
@@ -394,7 +394,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = WORDS,
     return signed.join(by_node, "node").select("doc_id", "class_id", "n_class")
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, bands: int = 16, rows: int = 4, strength: float = 0.25, small: int = 8, salted: int = 512) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, bands: int = 16, rows: int = 4, strength: float = 0.25, small: int = 8, salted: int = 128) -> DataFrame:
     """``docs`` with one row of each class, whatever its ids: a row of the class's least doc_id (nulls last), and there of the least node.
 
     Of rows that agree in doc_id and text one stays, by a hash of its columns.
