@@ -719,7 +719,7 @@ def X6_X12_legacy_round_trip(s, d):
 
 @query("""
 SELECT path_rel, lower(lpad(to_hex(CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT,
-  list_transform(range(1, size + 1), lambda i: CAST(CAST('0x' || substr(h, CAST(i * 2 - 1 AS BIGINT), 2) AS INTEGER) AS UHUGEINT))),
+  list_transform(regexp_extract_all(h, '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS UHUGEINT))),
   lambda x, y: (xor(x, y) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS UBIGINT)), 16, '0')) AS fnv1a
 FROM (SELECT path_rel, size, hex(encode(text)) AS h FROM files)""")
 def F19_fnv(s, d):
