@@ -105,7 +105,8 @@ def files_in_folder(files: DataFrame, folder: str) -> DataFrame:
 def with_duplicate_counts(files: DataFrame) -> DataFrame:
     """Adds ``duplicate_count`` and ``has_duplicates``: how many files name this one as their original."""
     counts = files.filter("is_duplicate and original_path is not null").groupBy(F.col("original_path").alias("path_rel")).agg(F.count("*").alias("n"))
-    return files.join(counts, "path_rel", "left").withColumn("duplicate_count", F.coalesce("n", F.lit(0).cast("long"))).withColumn("has_duplicates", F.col("duplicate_count") > 0).drop("n")
+    counted = files.join(counts, "path_rel", "left").withColumn("duplicate_count", F.coalesce("n", F.lit(0).cast("long")))
+    return counted.withColumn("has_duplicates", F.col("duplicate_count") > 0).drop("n")
 
 
 def with_originals(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +121,8 @@ def resolve_originals(files: DataFrame) -> DataFrame:
     d = files.filter("is_duplicate").select("path_rel", "original_path")
     d = d.withColumn("below", F.concat_ws("/", F.nullif(paths.root_prefix(F.col("path_rel"), F.col("original_path")), F.lit("")), "original_path"))
     o = files.filter("not is_duplicate").select("path_rel")
-    named, rooted = o.select(F.col("path_rel").alias("original_path"), F.col("path_rel").alias("_named")), o.select(F.col("path_rel").alias("below"), F.col("path_rel").alias("_rooted"))
+    named = o.select(F.col("path_rel").alias("original_path"), F.col("path_rel").alias("_named"))
+    rooted = o.select(F.col("path_rel").alias("below"), F.col("path_rel").alias("_rooted"))
     return d.join(named, "original_path", "left").join(rooted, "below", "left").select("path_rel", F.coalesce("_named", "_rooted").alias("resolved"))
 
 

@@ -265,6 +265,15 @@ def delta_encode(data: bytes) -> bytes:
     return np.diff(np.frombuffer(data, np.uint8), prepend=np.uint8(0)).astype(np.uint8).tobytes()
 
 
+STORED = "frame_id long, mode string, original_size long, size long, payload binary"
+
+
+def _stored(frame_id: pa.Array, mode: str, original_size: int, payload: bytes) -> pa.RecordBatch:
+    """One frame as it is stored."""
+    sizes = [pa.array([n], pa.int64()) for n in (original_size, len(payload))]
+    return pa.RecordBatch.from_arrays([frame_id, pa.array([mode]), *sizes, pa.array([payload], pa.binary())], [c.split()[0] for c in STORED.split(", ")])
+
+
 def encode_legacy(frames: DataFrame, mode: str, dictionary: list[int] | None = None, patterns: list[bytes] | None = None) -> DataFrame:
     """(frame_id, data) to (frame_id, mode, original_size, size, payload) in one of the older modes, for archives that older readers take."""
     before = {"rle1": lambda d: d, "rle2": lambda d: map_encode(d, dictionary or []), "pattern_rle": lambda d: pattern_encode(d, patterns or []), "delta_rle": delta_encode}[mode]
@@ -274,9 +283,9 @@ def encode_legacy(frames: DataFrame, mode: str, dictionary: list[int] | None = N
             for i in range(batch.num_rows):
                 data = batch.column(1)[i].as_py()
                 payload = rle_encode(before(data))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([mode]), pa.array([len(data)], pa.int64()), pa.array([len(payload)], pa.int64()), pa.array([payload], pa.binary())], ["frame_id", "mode", "original_size", "size", "payload"])
+                yield _stored(batch.column(0).slice(i, 1), mode, len(data), payload)
 
-    return frames.select("frame_id", "data").mapInArrow(run, "frame_id long, mode string, original_size long, size long, payload binary")
+    return frames.select("frame_id", "data").mapInArrow(run, STORED)
 
 
 def encode_frames(frames: DataFrame, mode: str = "lz4") -> DataFrame:
@@ -296,9 +305,9 @@ def encode_frames(frames: DataFrame, mode: str = "lz4") -> DataFrame:
                     packed = b""
                 good = 0 < len(packed) < len(data)
                 payload = packed if good else data
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([mode if good else "raw"]), pa.array([len(data)], pa.int64()), pa.array([len(payload)], pa.int64()), pa.array([payload], pa.binary())], ["frame_id", "mode", "original_size", "size", "payload"])
+                yield _stored(batch.column(0).slice(i, 1), mode if good else "raw", len(data), payload)
 
-    return frames.select("frame_id", "data").mapInArrow(run, "frame_id long, mode string, original_size long, size long, payload binary")
+    return frames.select("frame_id", "data").mapInArrow(run, STORED)
 
 
 def decode_frames(frames: DataFrame, dictionary: list[int] | None = None, patterns: list[bytes] | None = None) -> DataFrame:

@@ -59,7 +59,8 @@ def funnel_counts(files: DataFrame) -> DataFrame:
     found = []
     for i in range(len(STAGES), 0, -1):
         level = level.groupBy(*STAGES[:i]).agg(F.sum("n").alias("n"))
-        found.append(level.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("left")).select(F.lit(i).alias("stage"), F.lit(STAGES[i - 1]).alias("name"), "left"))
+        left = F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("left")
+        found.append(level.agg(left).select(F.lit(i).alias("stage"), F.lit(STAGES[i - 1]).alias("name"), "left"))
     rows = reduce(DataFrame.union, [total.select(F.lit(0).alias("stage"), F.lit("").alias("name"), "left"), *found])
     before = rows.select((F.col("stage") + 1).alias("stage"), F.col("left").alias("before"))  # six rows
     return rows.join(before, "stage").select("stage", "name", F.col("left").alias("candidates"), (F.col("before") - F.col("left")).alias("removed"))
@@ -71,7 +72,8 @@ def _elected(keyed: DataFrame) -> DataFrame:
     A content held by a large share of all files is one group, so the canonical path comes from an
     aggregation with partial sums and is joined back, rather than from sorting the group.
     """
-    first = keyed.filter("digest is not null").groupBy("size", "digest").agg(F.min(F.struct(F.lower("path_rel").alias("low"), F.col("path_rel").alias("path"))).alias("m"), F.count("*").alias("n"))
+    order = F.struct(F.lower("path_rel").alias("low"), F.col("path_rel").alias("path"))
+    first = keyed.filter("digest is not null").groupBy("size", "digest").agg(F.min(order).alias("m"), F.count("*").alias("n"))
     originals = first.filter("n > 1").select("size", "digest", F.col("m.path").alias("original"))
     return keyed.join(originals, ["size", "digest"], "left").select(
         "path_rel", "size",

@@ -39,7 +39,9 @@ def file_offsets(catalog: DataFrame) -> DataFrame:
 
 def start_frames(offsets: DataFrame, frame_size: int) -> DataFrame:
     """Adds ``start_frame`` and ``end_frame``; null for empty files."""
-    return offsets.withColumn("start_frame", F.when(F.col("size") > 0, F.floor(F.col("start") / frame_size))).withColumn("end_frame", F.when(F.col("size") > 0, F.floor((F.col("start") + F.col("size") - 1) / frame_size)))
+    frame = lambda place: F.when(F.col("size") > 0, F.floor(place / frame_size))
+    last = F.col("start") + F.col("size") - 1
+    return offsets.withColumn("start_frame", frame(F.col("start"))).withColumn("end_frame", frame(last))
 
 
 def frames(offsets: DataFrame, frame_size: int) -> DataFrame:
@@ -47,7 +49,8 @@ def frames(offsets: DataFrame, frame_size: int) -> DataFrame:
     total = offsets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ids = offsets.sparkSession.range(-(-total // frame_size)).withColumnRenamed("id", "frame_id")  # dealt over tasks, however many
     start = F.col("frame_id") * frame_size
-    return ids.select("frame_id", start.alias("frame_start"), F.least(start + frame_size, F.lit(total)).alias("frame_end")).withColumn("original_size", F.col("frame_end") - F.col("frame_start"))
+    end = F.least(start + frame_size, F.lit(total))
+    return ids.select("frame_id", start.alias("frame_start"), end.alias("frame_end"), (end - start).alias("original_size"))
 
 
 def slices(offsets: DataFrame, frame_size: int) -> DataFrame:

@@ -100,7 +100,8 @@ def run_summary(restored: DataFrame, seconds: float) -> DataFrame:
     by = {"written": "written", "linked": "linked", "copied": "copied", "failed": "failed"}
     counts = [F.count_if(F.col("how") == how).alias(name) for name, how in by.items()]
     done = restored.agg(*counts, (F.coalesce(F.sum(F.when(F.col("how") != "failed", F.col("size"))), F.lit(0)) / float(1 << 20)).alias("megabytes"))
-    return done.withColumn("seconds", F.lit(float(seconds))).withColumn("megabytes_a_second", F.when(F.col("seconds") > 0, F.col("megabytes") / F.col("seconds")).otherwise(F.lit(0.0)))
+    rate = F.when(F.col("seconds") > 0, F.col("megabytes") / F.col("seconds")).otherwise(F.lit(0.0))
+    return done.withColumn("seconds", F.lit(float(seconds))).withColumn("megabytes_a_second", rate)
 
 
 def volume_rates(volumes: DataFrame) -> DataFrame:
@@ -116,7 +117,10 @@ def log_progress(lines: DataFrame) -> DataFrame:
 
 def mode_stats(frame_table: DataFrame) -> DataFrame:
     """(mode, label, frames, original_bytes, compressed_bytes, ratio) of (frame_id, mode, original_size, size)."""
-    g = frame_table.groupBy("mode").agg(F.count("*").alias("frames"), F.sum("original_size").alias("original_bytes"), F.sum("size").alias("compressed_bytes"), F.max("frame_id").alias("last_frame"))
+    g = frame_table.groupBy("mode").agg(
+        F.count("*").alias("frames"), F.sum("original_size").alias("original_bytes"),
+        F.sum("size").alias("compressed_bytes"), F.max("frame_id").alias("last_frame"),
+    )
     return g.withColumn("label", fmt.mode_label(F.col("mode"))).withColumn("ratio", fmt.ratio(F.col("original_bytes"), F.col("compressed_bytes")))
 
 
@@ -134,6 +138,8 @@ def compression_stats(files: DataFrame, frame_table: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(~F.col("is_duplicate"), F.col("size"))), F.lit(0)).alias("original_bytes"),
         F.coalesce(F.sum(F.when(F.col("is_duplicate"), F.col("size"))), F.lit(0)).alias("duplicate_bytes"),
     )
-    v = frame_table.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("compressed_bytes"), F.countDistinct("volume_no").alias("volumes"), F.array_join(F.sort_array(F.collect_set(F.col("volume_no").cast("string"))), ",").alias("volume_list"))
+    names = F.array_join(F.sort_array(F.collect_set(F.col("volume_no").cast("string"))), ",")
+    v = frame_table.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("compressed_bytes"), F.countDistinct("volume_no").alias("volumes"), names.alias("volume_list"))
     both = f.join(F.broadcast(v))  # one row each
-    return both.withColumn("ratio", fmt.ratio(F.col("original_bytes"), F.col("compressed_bytes"))).withColumn("saved_percent", fmt.percent(F.col("original_bytes") - F.col("compressed_bytes"), F.col("original_bytes")))
+    before, after = F.col("original_bytes"), F.col("compressed_bytes")
+    return both.withColumn("ratio", fmt.ratio(before, after)).withColumn("saved_percent", fmt.percent(before - after, before))
